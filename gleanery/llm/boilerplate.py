@@ -65,7 +65,6 @@ _BYLINE = re.compile(r"(?:reported by|written by|words by|text by|by|von|text:|b
 _LISTED = re.compile(r"(?:[-*•–‣]|\d{1,3}[.)]) \S")
 _SEPARATED = re.compile(r" ?[·|/>»›•] ?| {2,}|\t")
 _WORD = re.compile(r"[^\W\d_]+")
-_SPACES = re.compile(r"\s+")
 _STOP = re.compile(r"\w[\"'”»)\]%`]*\s?[.!?…][\"'”»)\]]*(?:\s|$)")
 
 GOOD, BAD, SHORT, HEAD = "good", "bad", "short", "head"
@@ -77,7 +76,7 @@ def _rules() -> tuple[re.Pattern, re.Pattern]:
 
 
 def _plain(line: str) -> str:
-    return _SPACES.sub(" ", line).strip()
+    return " ".join(line.split())
 
 
 def brand_of(domain: str | None) -> str:
@@ -108,7 +107,16 @@ def stop_density(line: str) -> float:
 
 
 def first_pass(raw: str, brand: str) -> str:
-    """Label of one non-blank line by itself."""
+    """Label of one non-blank line by itself; short lines recur, so their labels are remembered."""
+    return _remembered(raw, brand) if len(raw) <= 120 else _first_pass(raw, brand)
+
+
+@lru_cache(maxsize=200_000)
+def _remembered(raw: str, brand: str) -> str:
+    return _first_pass(raw, brand)
+
+
+def _first_pass(raw: str, brand: str) -> str:
     line = _plain(raw)
     folded = line.casefold()
     bad, heads = _rules()

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import packing, splitting, tokens
+from gleanery.llm import boilerplate, packing, splitting, tokens
 from gleanery.sources import table
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "evidence_events").where(F.col("source_kind") == "web_page")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(_pages(spark, d))
+
+
+def p3_main_body(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.extract_main(_pages(spark, d)).select("event_id", "evidence_id", "body").distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     split = splitting.split_items(table(spark, d, "evidence_events"), table(spark, d, "size_limits"))
     return split.where(F.col("n_pieces") > 1).select("event_id", "evidence_id").distinct()
@@ -34,7 +46,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(sizes, caps).withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_pieces, p7_canary_chunks, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_main_body, p7_found, p7_pieces, p7_canary_chunks, p8_ids, p9_containers)}
 
 ORACLES = {
     "p7_found": """
