@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import boilerplate, packing, splitting, tokens
+from gleanery.llm import boilerplate, packing, repeated_lines, splitting, tokens
 from gleanery.sources import table
 
 
@@ -21,6 +21,21 @@ def p3_main_body(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.extract_main(_pages(spark, d)).select("event_id", "evidence_id", "body").distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = repeated_lines.frequent_sequences(_pages(spark, d)).where(F.col("length") == 1)
+    return found.select(F.col("source").alias("domain"), F.element_at("sequence", 1).alias("line_text"))
+
+
+def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
+    found = repeated_lines.frequent_sequences(_pages(spark, d))
+    return found.select("length", F.col("source").alias("domain"), F.array_join("sequence", "\n").alias("line_texts"), "support", "documents")
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d).select("event_id", "evidence_id", "domain", "text")
+    return repeated_lines.remove_repeated(pages, repeated_lines.frequent_sequences(pages)).select("event_id", "evidence_id", "clean_text").distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     split = splitting.split_items(table(spark, d, "evidence_events"), table(spark, d, "size_limits"))
     return split.where(F.col("n_pieces") > 1).select("event_id", "evidence_id").distinct()
@@ -46,9 +61,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(sizes, caps).withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_main_body, p7_found, p7_pieces, p7_canary_chunks, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_main_body, p5_found, p5_sequences, p5_clean, p7_found, p7_pieces, p7_canary_chunks, p8_ids, p9_containers)}
 
 ORACLES = {
+    "p5_found": r"""
+        WITH pages AS (SELECT domain, evidence_id, text FROM evidence_events WHERE source_kind = 'web_page' AND domain IS NOT NULL),
+        lines AS (
+            SELECT domain, evidence_id, regexp_replace(trim(regexp_replace(lower(l), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')), '[0-9]+', '0', 'g') AS line_text
+            FROM (SELECT domain, evidence_id, unnest(string_split(text, chr(10))) AS l FROM pages)
+        ),
+        n AS (SELECT domain, count(DISTINCT evidence_id) AS n FROM pages GROUP BY domain)
+        SELECT domain, line_text FROM lines JOIN n USING (domain) WHERE line_text <> ''
+        GROUP BY domain, line_text, n HAVING count(DISTINCT evidence_id) >= 5 AND count(DISTINCT evidence_id) * 100 >= n * 20
+    """,
     "p7_found": """
         SELECT DISTINCT e.event_id, e.evidence_id FROM evidence_events e
         JOIN size_limits l ON l.source_kind = e.source_kind AND l.unit = 'chars' WHERE length(e.text) > l.max_size
