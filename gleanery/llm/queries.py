@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import boilerplate, packing, repeated_lines, splitting, tokens
+from gleanery.llm import boilerplate, packing, repeated_lines, splitting, survivors, tokens
 from gleanery.sources import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    chosen = survivors.choose_survivors(table(spark, d, "evidence_latest"), least=2)
+    return chosen.select(F.col("body_record").alias("record_id"))
+
+
+def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.build_survivors(table(spark, d, "evidence_latest"))
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evidence_events").where(F.col("source_kind") == "web_page")
 
@@ -61,7 +70,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(sizes, caps).withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_main_body, p5_found, p5_sequences, p5_clean, p7_found, p7_pieces, p7_canary_chunks, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p3_found, p3_main_body, p5_found, p5_sequences, p5_clean, p7_found, p7_pieces, p7_canary_chunks, p8_ids, p9_containers)}
 
 ORACLES = {
     "p5_found": r"""
