@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import boilerplate, packing, repeated_lines, splitting, survivors, tokens
+from gleanery.llm import boilerplate, packing, pii, repeated_lines, splitting, survivors, tokens
 from gleanery.sources import table
 
 
@@ -70,7 +70,16 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(sizes, caps).withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p3_found, p3_main_body, p5_found, p5_sequences, p5_clean, p7_found, p7_pieces, p7_canary_chunks, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.detect(table(spark, d, "documents"), table(spark, d, "known_names"))
+    return found.select("doc_id", "pii_type", "start_char")
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mask(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "known_names"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p3_found, p3_main_body, p5_found, p5_sequences, p5_clean, p7_found, p7_pieces, p7_canary_chunks, p8_ids, p9_containers, p10_found, p10_masked)}
 
 ORACLES = {
     "p5_found": r"""
