@@ -127,7 +127,7 @@ _LABEL = (
     r"|(?:Reisepass|Personalausweis|Pass|Ausweis)(?:[ -]?(?:[Nn]r\.?|[Nn]ummer))?|Steuer-?(?:ID|Id|[Nn]ummer|Nr\.?)|Sozialversicherungsnummer|[Pp]asaporte(?: (?:n\.?º|n°|no\.?|núm\.?))?|DNI|NIE|NIF|[Nn]úmero de la [Ss]eguridad [Ss]ocial"
     r"|[Pp]asseport(?: (?:n°|nº|no\.?|numéro))?|[Cc]arte (?:nationale )?d[’']identité(?: (?:n°|nº|no\.?))?|NIR|(?:n°|[Nn]uméro) de [Ss]écurité [Ss]ociale)"
 )
-_ID_LABELLED = re.compile(rf"(?<!\w){_LABEL}\s?(?:[:#=]|is\b)?\s*(?P<v>[A-Z0-9](?:[A-Z0-9]|[ .-]{{1,2}}(?=[A-Z0-9](?![a-z])))*)")
+_ID_LABELLED = re.compile(rf"(?<!\w){_LABEL}\s?(?:[:#=]|is\b)?\s*(?P<v>(?=[A-Z]{{0,3}}[ -]?\d)[A-Z0-9](?:[A-Z0-9]|[ .-]{{1,2}}(?=[A-Z0-9](?![a-z])))*)")
 _ID_BARE = re.compile(
     r"(?<![\w.+#/-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}-?[A-Z]|\d{2}\.\d{3}\.\d{3}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[1-37-8] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|[1-37-8]\d{14}|\d{2}[A-Z]{2}\d{5}|[A-Z]{3}\d{6}|[CFGHJKLMNPRTVWXYZ](?=[A-Z\d]*\d[A-Z\d]*\d[A-Z\d]*\d[A-Z\d]*\d)[0-9CFGHJKLMNPRTVWXYZ]{8})(?![\w/]|-\d|\.\d)"
 )
@@ -161,7 +161,8 @@ _ADDRESS = re.compile(
     rf"|(?:C/|Calle|c/|Avda\.|Avenida|Av\.|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Travesía|Carretera)(?: (?:de|del|la|las|los|el))* ?{_CAP}(?: {_CAP}){{0,2}},? (?:n\.?º ?|n° ?)?\d{{1,4}}"
     # German: compound street names and hyphened ones before the number
     r"|[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|[-](?:Platz|Straße|Weg|Allee|Ring|Str\.))"
-    r" \d{1,4}[a-z]?)(?!\w)"
+    r" \d{1,4}[a-z]?"
+    rf"|(?:Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Zum|Zur|Unter den|Hinter der) {_CAP} \d{{1,4}}[a-z]?)(?!\w)"
 )
 
 # ---------------------------------------------------------------- names
@@ -305,17 +306,23 @@ def learn_names(texts: DataFrame, known: DataFrame, text: str = "text", known_na
     """
     titles = list(_TITLES)
     runs = texts.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_RUN), F.lit(0))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    words = F.split("run", "[- ]")
-    pairs = runs.select("n", F.explode(F.arrays_zip(F.slice(words, F.lit(1), F.size(words) - 1).alias("a"), F.slice(words, F.lit(2), F.size(words) - 1).alias("b"))).alias("p"))
-    pairs = pairs.select(F.lower("p.a").alias("a"), F.lower("p.b").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    words, seps = F.split("run", "[- ]"), F.regexp_extract_all("run", F.lit("[- ]"), F.lit(0))
+    left, right = F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1)
+    pairs = runs.select("n", F.explode(F.arrays_zip(left.alias("a"), seps.alias("sep"), right.alias("b"))).alias("p"))
+    pairs = pairs.select(F.lower("p.a").alias("a"), F.col("p.sep").alias("sep"), F.lower("p.b").alias("b"), "n").groupBy("a", "sep", "b").agg(F.sum("n").alias("n"))
     pairs = cut(pairs.where(~F.col("a").isin(titles) & ~F.col("b").isin(titles)))
+    spaced, hyphened = pairs.where("sep = ' '"), pairs.where("sep = '-'")
     given = known.select(F.lower(F.col(known_name)).alias("name")).where("name <> ''").distinct()
     for _ in range(2):
-        family = pairs.join(given.withColumnRenamed("name", "a"), "a", "left_semi").select(F.col("b").alias("name")).where(F.length("name") >= 4).distinct().join(given, "name", "left_anti")
-        marked = pairs.join(family.select(F.col("name").alias("b"), F.lit(1).alias("f")), "b", "left")
+        twins = hyphened.join(given.withColumnRenamed("name", "a"), "a", "left_semi").select(F.col("b").alias("name"))
+        twins = twins.union(hyphened.join(given.withColumnRenamed("name", "b"), "b", "left_semi").select(F.col("a").alias("name"))).distinct()
+        after = spaced.join(given.withColumnRenamed("name", "a"), "a", "left_semi").groupBy(F.col("b").alias("name")).agg(F.sum("n").alias("n"))
+        family = after.where(F.length("name") >= 4).select("name").join(given, "name", "left_anti").join(twins, "name", "left_anti")
+        marked = spaced.join(family.select(F.col("name").alias("b"), F.lit(1).alias("f")), "b", "left")
         more = marked.groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("f") == 1, F.col("n"))).alias("before"), F.count("f").alias("families"))
         more = more.where((F.col("families") >= 2) & (F.col("before") >= 0.5 * F.col("n"))).select("name").join(family, "name", "left_anti")
-        given = given.union(more).distinct()
+        given = cut(given.union(twins).union(more).distinct())
+        family = cut(family)
     return cut(family.select(F.lit("family").alias("kind"), "name").union(given.select(F.lit("given"), "name")))
 
 
