@@ -34,6 +34,9 @@ _PLAIN = {0xA0: " ", 0x2007: " ", 0x2009: " ", 0x202F: " ", 0x3000: " ", 0x2010:
 _PLAIN |= {0xFF10 + i: str(i) for i in range(10)} | {0xFF21 + i: chr(65 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 _FOREIGN_NEXT = re.compile(r"[A-Za-z@.][Ѐ-ӿͰ-Ͽԁ]+|[Ѐ-ӿͰ-Ͽԁ]+(?=[A-Za-z@])")
 _MARKS = re.compile(r"[^\W\d_][̀-ͯ]+")
+_PLAIN_HINT = re.compile("[" + "".join(re.escape(chr(c)) for c in _PLAIN) + "]")
+_LETTERS_HINT = re.compile("[Ѐ-ӿͰ-Ͽԁ]")
+_MARKS_HINT = re.compile("[̀-ͯ]")
 _ZERO = re.compile(r"[​-‍⁠﻿­]")
 _OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
 _DISGUISED = re.compile(
@@ -41,7 +44,8 @@ _DISGUISED = re.compile(
     rf"|(?P<at2>\s(?:at|arroba)\s)(?P<b>[\w-]+(?:(?:{_OPEN}(?:dot|punkt|punto|point){_CLOSE}|\s(?:dot|punkt|punto|point)\s)[\w-]+)+))",
     re.I,
 )
-_DISGUISE_HINT = re.compile(r"[\[({<]\s?(?:at|arroba|ät|@)\s?[\])}>]|\s(?:dot|punkt|punto|point)\s|[\[({]\s?dot", re.I)
+_DISGUISE_WORDS = ("(at", "[at", "{at", "<at", "( at", "[ at", "arroba", "(ät", "[ät", " dot ", "[dot", "(dot", "(@", "[@")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _DOT = re.compile(rf"{_OPEN}(?:dot|punkt|punto|point){_CLOSE}|\s(?:dot|punkt|punto|point)\s", re.I)
 _DIGIT_WORDS = {w: str(i % 10) for i, ws in enumerate(("zero oh null cero zéro", "one eins uno un", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre", "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")) for w in ws.split()}
 _NUMBER_WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
@@ -54,6 +58,7 @@ class Mapped:
 
     def __init__(self, text: str) -> None:
         self.text, self.starts, self.sources = text, [0], [0]
+        self.words: set[str] = set()
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Applies edits ``(start, end, replacement)``, sorted and apart, to the present text."""
@@ -96,18 +101,22 @@ class Mapped:
 
 
 def normalise(text: str) -> Mapped:
-    """The text without disguises, with its way back."""
+    """The text without disguises, with its way back. Cheap searches decide which transducers have work."""
     m = Mapped(text)
     if not text.isascii():
-        t = text.translate(_PLAIN)
-        if _FOREIGN_NEXT.search(t):
+        t = text.translate(_PLAIN) if _PLAIN_HINT.search(text) else text
+        if _LETTERS_HINT.search(t):
             t = _FOREIGN_NEXT.sub(lambda x: x[0].translate(_LOOK_ALIKE), t)
         m.text = t  # one to one so far
-        m.rewrite([(x.start(), x.end(), "") for x in _ZERO.finditer(m.text)])
-        m.rewrite([(x.start(), x.end(), c) for x in _MARKS.finditer(m.text) if len(c := unicodedata.normalize("NFC", x[0])) < len(x[0])])
-    if _SPELLED_HINT.search(m.text):
+        if _ZERO.search(t):
+            m.rewrite([(x.start(), x.end(), "") for x in _ZERO.finditer(m.text)])
+        if _MARKS_HINT.search(m.text):
+            m.rewrite([(x.start(), x.end(), c) for x in _MARKS.finditer(m.text) if len(c := unicodedata.normalize("NFC", x[0])) < len(x[0])])
+    lower = m.text.casefold()
+    m.words = set(_LETTERS.findall(lower))
+    if len(m.words & _DIGIT_WORDS.keys()) >= 3 and _SPELLED_HINT.search(lower):
         m.rewrite([(x.start(), x.end(), "".join(_DIGIT_WORDS[w.casefold()] for w in re.split(r"[\s-]+", x[0]))) for x in _SPELLED.finditer(m.text)])
-    if _DISGUISE_HINT.search(m.text):
+    if any(w in lower for w in _DISGUISE_WORDS):
         edits = []
         for x in _DISGUISED.finditer(m.text):
             at, host = ("at", "a") if x["at"] else ("at2", "b")
@@ -150,31 +159,71 @@ _PHONE = re.compile(
 _PHONE_CUED = re.compile(r"(?:(?<!\w)(?:[Tt]el|TEL|[Tt]él|[Tt]elefon|[Tt]eléfono|[Tt]éléphone|[Pp]hone|[Mm]obile?|[Mm]óvil|[Hh]andy|[Ff]ax)(?:\.|:|=|\s)*|☎\s*)(?P<v>[+(]?\d[\d ()./-]{5,}\d)(?!\w)")
 _NOT_PHONE = re.compile(r"(?:ISBN|doi|DOI|build|Batch|Seeds?:?|run_id=?|cursor|commit|ORD-|Ticket|Case|Route|v|#)[ \d.,:/-]*$")
 
+#: Chains of at least five digits with little between them: only there can an unlabelled number or phone stand.
+_CHAIN = re.compile(r"\d(?:[ ./()A-Z-]{0,3}\d){4,}")
+_PHONE_HINTS = ("tel", "tél", "phone", "mobil", "móvil", "handy", "fax")
+_LABEL_HINTS = ("ssn", "social", "ni n", "nino", "insurance", "pass", "pasaporte", "tax", "ausweis", "steuer", "sozial", "dni", "nie", "nif", "seguridad", "identité", "nir", "sécurité")
+
+
+def _windows(t: str) -> list[tuple[int, int]]:
+    """Stretches around the chains of digits, apart and in order."""
+    out, last = [], 0
+    for x in _CHAIN.finditer(t):
+        a, b = max(last, x.start() - 8), min(len(t), x.end() + 8)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+        last = b
+    return out
+
+
 _CAP = r"[A-ZÀ-Þ][\w’'-]*"
-_ADDRESS = re.compile(
+_NUMBER_FIRST_FORM = (
+    r"\d{1,5}(?:"
+    # English: number with letter, compass point, names, kind of street
+    rf"[a-z]? (?:[NSEW]\.? )?{_CAP}(?: {_CAP}){{0,2}} (?:Street|St|Road|Rd|Way|Lane|Ln|Court|Ct|Blvd|Boulevard|Avenue|Ave|Drive|Dr|Terrace|Ter|Square|Sq|Close|Place|Pl|Crescent|Gardens|Grove|Mews|Row|Walk|Parkway|Pkwy|Highway|Hwy)\b"
+    # French: kind of street, then its name
+    rf"|(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|bd|boulevard|chemin|impasse|place|allée|quai|cours|square|route|passage)(?: (?:des|du|de|d[’']|la|le|les|l[’']))* ?{_CAP}"
+    r")(?!\w)"
+)
+_WORD_FIRST_FORM = (
     r"(?<![\w./-])(?:"
-    # English: flat and number, number with letter, compass point
-    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+\w?,? )?\d{{1,5}}[a-z]? (?:[NSEW]\.? )?{_CAP}(?: {_CAP}){{0,2}} (?:Street|St|Road|Rd|Way|Lane|Ln|Court|Ct|Blvd|Boulevard|Avenue|Ave|Drive|Dr|Terrace|Ter|Square|Sq|Close|Place|Pl|Crescent|Gardens|Grove|Mews|Row|Walk|Parkway|Pkwy|Highway|Hwy)\b"
-    # French: number before the kind of street
-    rf"|\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|bd|boulevard|chemin|impasse|place|allée|quai|cours|square|route|passage)(?: (?:des|du|de|d[’']|la|le|les|l[’']))* ?{_CAP}"
     # Spanish: kind of street before name and number
-    rf"|(?:C/|Calle|c/|Avda\.|Avenida|Av\.|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Travesía|Carretera)(?: (?:de|del|la|las|los|el))* ?{_CAP}(?: {_CAP}){{0,2}},? (?:n\.?º ?|n° ?)?\d{{1,4}}"
-    # German: compound street names and hyphened ones before the number
-    r"|[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|[-](?:Platz|Straße|Weg|Allee|Ring|Str\.))"
-    r" \d{1,4}[a-z]?"
+    rf"(?:C/|Calle|c/|Avda\.|Avenida|Av\.|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Travesía|Carretera)(?: (?:de|del|la|las|los|el))* ?{_CAP}(?: {_CAP}){{0,2}},? (?:n\.?º ?|n° ?)?\d{{1,4}}"
+    # German: compound street names and hyphened ones before the number, phrases with a preposition
+    r"|[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|[-](?:Platz|Straße|Weg|Allee|Ring|Str\.)) \d{1,4}[a-z]?"
     rf"|(?:Am|An der|An den|Auf dem|Auf der|Im|In der|In den|Zum|Zur|Unter den|Hinter der) {_CAP} \d{{1,4}}[a-z]?)(?!\w)"
 )
 
+
+def _spaced(form: str) -> re.Pattern:
+    """Spaces in a form stand for any short white space, a line break included."""
+    return re.compile(form.replace(" ?", r"\s{0,3}").replace(" ", r"\s{1,3}"))
+
+
+_NUMBER_FIRST, _WORD_FIRST = _spaced(_NUMBER_FIRST_FORM), _spaced(_WORD_FIRST_FORM)
+_BEFORE_NUMBER = re.compile(r"(?:(?P<flat>(?:Flat|Apt\.?|Apartment|Unit|Suite)\s{1,3}\d+\w?,?\s{1,3})|[\w./-]|\d[.,])\Z")
+_WORD_FIRST_HINTS = ("c/", "calle", "avda", "avenida", "av.", "plaza", "pza", "paseo", "p.º", "camino", "ronda", "traves", "carretera", "stra", "str.", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "am ", "an d", "auf d", "im ", "in d", "zum", "zur", "unter d", "hinter d")
+
+
+def _addresses(t: str, lower: str) -> Iterator[tuple[int, int]]:
+    for x in _NUMBER_FIRST.finditer(t):
+        before = _BEFORE_NUMBER.search(t, max(0, x.start() - 24), x.start())
+        if not before:
+            yield x.span()
+        elif before["flat"]:
+            yield before.start(), x.end()
+    if any(w in lower for w in _WORD_FIRST_HINTS):
+        for x in _WORD_FIRST.finditer(t):
+            yield x.span()
+
+
 # ---------------------------------------------------------------- names
 
 _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?")
 _TITLES = frozenset("mr mrs ms miss dr prof sir herr frau sr sra srta don doña m mme mlle monsieur madame dra".split())
 _PARTICLES = frozenset("von van de der den del di du la le da dos".split())
-_GAP = re.compile(r"[^\S\n]*\n?[^\S\n]*\Z")
-
-
-def _folded(word: str) -> str:
-    return word.casefold()
 
 
 def find_names(text: str, given: frozenset[str], family: frozenset[str]) -> list[tuple[int, int]]:
@@ -184,8 +233,6 @@ def find_names(text: str, given: frozenset[str], family: frozenset[str]) -> list
     and given name around a comma, or family after a title, which is not part of the span.
     """
     words = [(m.start(), m.end(), m[0].casefold()) for m in _WORD.finditer(text)]
-    if family.isdisjoint([w for _, _, w in words]):
-        return []
     spans, last, k = [], -1, 0
     while k < len(words):
         s, e, w = words[k]
@@ -255,27 +302,34 @@ def find_pii(text: str | None, given: frozenset[str] = frozenset(), family: froz
         if s < i and host:
             add(s, host.end(), "email")
         i = t.find("@", host.end() if host else i + 1)
-    for x in _ID_LABELLED.finditer(t):
-        v = x["v"]
-        if sum(c.isdigit() for c in v) >= 5 and free(*x.span("v")):
-            while v and len(v.split()[-1]) == 1 and v[-1].isalpha() and not re.search(r"\d\d C?$|\d\d [A-D]$", v):
-                v = v[:-1].rstrip(" .-")
-            add(x.start("v"), x.start("v") + len(v), "id_number")
-    for x in _ID_BARE.finditer(t):
-        if free(*x.span()):
-            add(*x.span(), "id_number")
-    for x in _PHONE_CUED.finditer(t):
-        if 6 < sum(c.isdigit() for c in x["v"]) <= 16 and free(*x.span("v")):
-            add(*x.span("v"), "phone")
-    for x in _PHONE.finditer(t):
-        if 6 < sum(c.isdigit() for c in x[0]) <= 16 and free(*x.span()) and not _NOT_PHONE.search(t, max(0, x.start() - 24), x.start()):
-            add(*x.span(), "phone")
-    for x in _ADDRESS.finditer(t):
-        if free(*x.span()):
-            add(*x.span(), "address")
-    for s, e in find_names(t, given, family):
+    lower = t.casefold()
+    if any(w in lower for w in _LABEL_HINTS):
+        for x in _ID_LABELLED.finditer(t):
+            v = x["v"]
+            if sum(c.isdigit() for c in v) >= 5 and free(*x.span("v")):
+                while v and len(v.split()[-1]) == 1 and v[-1].isalpha() and not re.search(r"\d\d [A-D]$", v):
+                    v = v[:-1].rstrip(" .-")
+                add(x.start("v"), x.start("v") + len(v), "id_number")
+    windows = _windows(t)
+    for a, b in windows:
+        for x in _ID_BARE.finditer(t, a, b):
+            if free(*x.span()):
+                add(*x.span(), "id_number")
+    if "☎" in t or any(w in lower for w in _PHONE_HINTS):
+        for x in _PHONE_CUED.finditer(t):
+            if 6 < sum(c.isdigit() for c in x["v"]) <= 16 and free(*x.span("v")):
+                add(*x.span("v"), "phone")
+    for a, b in windows:
+        for x in _PHONE.finditer(t, a, b):
+            if 6 < sum(c.isdigit() for c in x[0]) <= 16 and free(*x.span()) and not _NOT_PHONE.search(t, max(0, x.start() - 24), x.start()):
+                add(*x.span(), "phone")
+    for s, e in _addresses(t, lower):
         if free(s, e):
-            add(s, e, "name")
+            add(s, e, "address")
+    if not family.isdisjoint(m.words):
+        for s, e in find_names(t, given, family):
+            if free(s, e):
+                add(s, e, "name")
     return sorted(found)
 
 
