@@ -22,6 +22,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noise_lines(table(spark, d, "media_observed"), table(spark, d, "media_ocr_results"))
 
 
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "media_observed"), table(spark, d, "media_ocr_results"))
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evidence_events").where(F.col("source_kind") == "web_page")
 
@@ -83,7 +87,7 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.mask(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "known_names"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p3_found, p3_main_body, p5_found, p5_sequences, p5_clean, p7_found, p7_pieces, p7_canary_chunks, p8_ids, p9_containers, p10_found, p10_masked)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_paragraphs, p3_found, p3_main_body, p5_found, p5_sequences, p5_clean, p7_found, p7_pieces, p7_canary_chunks, p8_ids, p9_containers, p10_found, p10_masked)}
 
 ORACLES = {
     "p5_found": r"""

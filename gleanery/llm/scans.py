@@ -26,21 +26,24 @@ from gleanery.session import cut
 
 #: What a recogniser makes of glyphs: read -> meant (fixed list of look-alikes).
 GLYPHS = (
-    ("c", "e"), ("f", "t"), ("0", "o"), ("@", "a"), ("j", "i"), ("1", "l"), ("b", "h"), ("q", "g"), ("5", "s"), ("8", "b"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("6", "b"), ("l", "i"), ("n", "ri"), ("m", "rn"), ("d", "cl"), ("h", "b"), ("e", "c"), ("t", "f"), ("i", "l"), ("g", "q"),
+    ("c", "e"), ("f", "t"), ("0", "o"), ("@", "a"), ("j", "i"), ("1", "l"), ("b", "h"), ("q", "g"), ("5", "s"), ("8", "b"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("ii", "ü"), ("h", "li"), ("rm", "nn"), ("b", "ß"), ("6", "b"), ("l", "i"), ("n", "ri"), ("m", "rn"), ("d", "cl"), ("h", "b"), ("e", "c"), ("t", "f"), ("i", "l"), ("g", "q"),
 )
 #: Edits that no spelling explains otherwise: digits and signs inside words.
 STRONG = frozenset("01@5")
 #: A word is frequent from this count on; a link needs this ratio of counts, a lower one with a fitting context.
-FREQUENT, RATIO, RATIO_IN_CONTEXT, FIT = 4, 20.0, 8.0, 0.2
+FREQUENT, RATIO, RATIO_IN_CONTEXT, FIT = 4, 24.0, 8.0, 0.2
+#: The lower ratio is for words this rare; above SURE a link holds whatever its context.
+FEW, SURE = 3, 200.0
 VECTOR_SIZE, WINDOW = 24, 3
 
-_NUMBER = r"(?:(?=[\w]*\d)[0-9OolIiSsBZGq|]{1,6}|[ivxlcIVXLC]{1,7}|[lOI]{1,4})"
+_NUMBER = r"(?:(?=[\w]*\d)[0-9OolIiSsBZGq|]{1,6}|[ivxlcIVXLC]{1,7}|[lOISBZ]{1,4})"
 _PAGE_NO = re.compile(rf"[\W_]*(?:(?:[Pp][a@]g[ec]|[Ss]eite|[Pp][áa@]gina|[Pp]\.|S\.)\s*)?{_NUMBER}(?:\s*(?:[o0][ft]|von|d[ec]|sur|/)\s*{_NUMBER})?[\W_]*")
 _EDGE_NUMBER = re.compile(rf"^\s*{_NUMBER}\s{{3,}}(?=\S)|(?<=\S)\s{{3,}}{_NUMBER}\s*$")
 _BREAK = re.compile(r"[^\W\d_][-¬­‐]\s*$|\w[-¬­‐]\s*$")
 _HANGING = frozenset("and or und oder et ou y e o bis to nor sowie".split())
 _TOKEN = re.compile(r"[\w@]+(?:[’'][\w@]+)*")
-_ODD_NUMBER = re.compile(r"(?<![\w.,])(?=[\dOolISBZ.,:/%-]*\d)(?=[\d.,:/%-]*[OolISBZ])(?:\d|[OolISBZ](?=[\d.,]))(?:[\dOolISBZ]|[.,:/](?=[\dOolISBZ]))*%?(?![\w])")
+#: A number with letters among its digits.
+_ODD_NUMBER = re.compile(r"(?<![\w@])(?=[OolIsSBZ.,:/]*\d)(?=[\d.,:/]*[OolIsSBZ])[\dOolIsSBZ](?:[\dOolIsSBZ]|[.,:/](?=[\dOolIsSBZ]))*k?(?![\w@])")
 
 
 def skeleton(line: str | None) -> str:
@@ -94,7 +97,7 @@ def split_page(text: str | None, page_no: int | None, title: str | None, heading
         bare = _EDGE_NUMBER.sub("", last)
         key = skeleton(bare)
         journal = len(bare) <= 60 and not re.search(r"[.;:!?]$", bare) and (any(key.endswith(j) or (j == skeleton("vol") and re.search(j + r"[\dosiq]{1,4}$", key)) for j in _journal()))
-        if (bare != last and (journal or len(bare) <= 60 and not re.search(r"\d[%\d]*$", bare))) or journal:
+        if (bare != last and (journal or len(bare) <= 60 and re.match(r"[^\W\d_]{3,}", bare) and not re.search(r"[\d%]$", bare))) or journal:
             hi -= 1
             running.append(lines[hi][0])
     elif numbered and hi == lo:
@@ -183,7 +186,7 @@ def split_pages(pages: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- words
 
-_WORDS = "media_id string, line_no int, at int, word string, near array<string>, broken boolean, head string, tail string, tail_media string, tail_no int, confidence double, hyphen boolean, odd boolean"
+_WORDS = "media_id string, line_no int, at int, word string, near array<string>, broken boolean, head string, tail string, tail_media string, tail_no int, confidence double, hyphen boolean, odd boolean, half string"
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,11 +212,15 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if w:
                     page.append([no, w[0] + w[1], True, w[0], w[1], nxt[0], None if nxt[1] is None else int(nxt[1])])
                     skip = (lines[k + 1][1].find(w[1]) + len(w[1])) if not last else 0
-                rows.append((r.media_id, no, -1, None, None, False, None, None, None, None, r.confidence, bool(w), bool(_ODD_NUMBER.search(line))))
+                rows.append((r.media_id, no, -1, None, None, False, None, None, None, None, r.confidence, bool(w), bool(_ODD_NUMBER.search(line)), None))
             plain = [p[1].casefold() for p in page]
             for i, p in enumerate(page):
                 near = plain[max(0, i - WINDOW) : i] + plain[i + 1 : i + 1 + WINDOW]
-                rows.append((r.media_id, p[0], i, p[1].casefold(), near, p[2], p[3], p[4], p[5], p[6], r.confidence, False, False))
+                rows.append((r.media_id, p[0], i, p[1].casefold(), near, p[2], p[3], p[4], p[5], p[6], r.confidence, False, False, None))
+                if p[2]:  # its halves as words of their own, should the whole be a compound
+                    rows.append((r.media_id, p[0], i, p[3].rpartition("-")[2].casefold(), near, True, p[3], p[4], p[5], p[6], r.confidence, False, False, "head"))
+                    if p[5] is not None:
+                        rows.append((p[5], p[6], -2 - i, p[4].casefold(), near, True, p[3], p[4], p[5], p[6], r.confidence, False, False, "tail"))
             if len(rows) > 50_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
@@ -232,7 +239,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def link_words(counts: DataFrame) -> DataFrame:
-    """``word, meant, strong, ratio``: words and the far more frequent ones that glyph edits turn them into.
+    """``word, meant, strong, ratio, n``: words and the far more frequent ones that glyph edits turn them into.
 
     ``counts`` has word and n. Only words of three characters on, and two-letter ones with a sign or digit, are
     candidates. Equi-joins by the edited spelling; words without letters are left out.
@@ -243,7 +250,7 @@ def link_words(counts: DataFrame) -> DataFrame:
     frequent = lettered.where((F.col("n") >= FREQUENT) & ~F.col("word").rlike("[0-9@]")).select(F.col("word").alias("meant"), F.col("n").alias("m"))
     linked = made.join(frequent, "meant").join(counts, "word")
     ratio = F.col("m") / F.col("n")
-    return linked.where((ratio >= RATIO_IN_CONTEXT) | F.col("strong")).select("word", "meant", "strong", ratio.alias("ratio"))
+    return linked.where((ratio >= RATIO_IN_CONTEXT) | F.col("strong")).select("word", "meant", "strong", ratio.alias("ratio"), "n")
 
 
 def learn_vectors(words: DataFrame, partitions: int) -> DataFrame:
@@ -251,7 +258,7 @@ def learn_vectors(words: DataFrame, partitions: int) -> DataFrame:
 
     Every page is a sentence. The model's size is bounded by the vocabulary of words of at least FREQUENT + 1.
     """
-    pages = words.where(F.col("word").isNotNull()).groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("w"))
+    pages = words.where(F.col("word").isNotNull() & F.col("half").isNull()).groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("w"))
     pages = pages.select(F.transform("w", lambda x: x["word"]).alias("words"))
     model = Word2Vec(vectorSize=VECTOR_SIZE, windowSize=WINDOW, minCount=FREQUENT + 1, maxIter=1, numPartitions=partitions, stepSize=0.05, seed=7, inputCol="words", outputCol="v", maxSentenceLength=1000).fit(pages)
     from pyspark.ml.functions import vector_to_array
@@ -274,9 +281,7 @@ def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
     ratio asked for.
     """
     links = cut(link_words(counts))
-    hits = words.where(F.col("word").isNotNull()).join(links, "word")
-    # what is broken and known as it stands, joined or as a compound of two known words, is no misreading
-    hits = cut(hits)
+    hits = cut(words.where(F.col("word").isNotNull()).join(links, "word"))
     vectors = cut(learn_vectors(words, max(2, words.sparkSession.sparkContext.defaultParallelism)))
     near = hits.select("media_id", "at", F.explode(F.array_distinct("near")).alias("word")).distinct().join(vectors, "word")
     mean = near.groupBy("media_id", "at").agg(*[F.avg(F.element_at("vector", i + 1)).alias(f"v{i}") for i in range(VECTOR_SIZE)])
@@ -285,10 +290,11 @@ def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
     scored = hits.join(mean, ["media_id", "at"], "left").join(target, "meant", "left")
     fit = F.when(F.col("context").isNull() | F.col("vector").isNull(), F.lit(0.0)).otherwise(_cosine(F.col("context"), F.col("vector")))
     scored = scored.withColumn("fit", fit)
-    asked = F.lit(RATIO) * F.coalesce(F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.col("confidence"))), F.lit(1.0))
-    good = scored.where(F.col("strong") | (F.col("ratio") >= asked) | ((F.col("ratio") >= RATIO_IN_CONTEXT) & (F.col("fit") >= FIT)))
-    best = good.groupBy("media_id", "at").agg(F.max_by(F.struct("line_no", "word", "meant", "broken", "head", "tail", "tail_media", "tail_no"), F.struct(F.col("fit") + F.log10("ratio"), F.col("meant"))).alias("b"))
-    return best.select("media_id", "at", "b.*")
+    asked = F.lit(RATIO) * F.coalesce(F.greatest(F.lit(0.8), F.least(F.lit(1.0), F.col("confidence"))), F.lit(1.0))
+    held = (F.col("ratio") >= asked) & ((F.col("fit") >= 0) | (F.col("ratio") >= SURE))
+    good = scored.where(F.col("strong") | held | ((F.col("ratio") >= RATIO_IN_CONTEXT) & (F.col("fit") >= FIT) & (F.col("n") <= FEW)))
+    best = good.groupBy("media_id", "at", "half").agg(F.max_by(F.struct("line_no", "word", "meant", "broken", "head", "tail", "tail_media", "tail_no", "fit", "ratio"), F.struct(F.col("fit") + F.log10("ratio"), F.col("meant"))).alias("b"))
+    return best.select("media_id", "at", "half", "b.*")
 
 
 # ---------------------------------------------------------------- results
@@ -298,10 +304,20 @@ def analyse(media: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame,
     """Pages in parts, their words, and the corrections."""
     parts = cut(split_pages(scan_pages(media, results)))
     words = cut(page_words(parts))
-    counts = cut(words.where(F.col("word").isNotNull() & ~F.col("broken")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    joined = words.where(F.col("broken")).select("word").distinct().join(counts, "word", "left_anti").select("word", F.lit(1).cast("long").alias("n"))
-    fixes = cut(corrections(words, counts.union(joined)))
-    return parts, words, fixes
+    spoken = words.where(F.col("word").isNotNull())
+    counts = cut(spoken.where(~F.col("broken")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    # broken words count as one where they are known no other way; halves matter only in compounds unknown as one word
+    joined = spoken.where(F.col("broken") & F.col("half").isNull())
+    unknown = joined.join(counts, "word", "left_anti")
+    halves = spoken.where(F.col("half").isNotNull())
+    extra = unknown.select("word").union(halves.select("word")).distinct().join(counts, "word", "left_anti")
+    fixes = cut(corrections(words, counts.union(extra.select("word", F.lit(1).cast("long").alias("n")))))
+    whole = fixes.where(F.col("half").isNull())
+    compounds = unknown.select(F.lower("head").alias("h"), F.lower("tail").alias("t")).distinct()
+    mended = whole.where("broken").select(F.lower("head").alias("h"), F.lower("tail").alias("t")).distinct()
+    open_ = compounds.join(mended, ["h", "t"], "left_anti")
+    half = fixes.where(F.col("half").isNotNull()).withColumns({"h": F.lower("head"), "t": F.lower("tail")}).join(open_, ["h", "t"], "left_semi").drop("h", "t")
+    return parts, words, whole.unionByName(half)
 
 
 def noise_lines(media: DataFrame, results: DataFrame) -> DataFrame:
@@ -311,8 +327,71 @@ def noise_lines(media: DataFrame, results: DataFrame) -> DataFrame:
     lines = words.where(F.col("at") == -1)
     hyphen = lines.where("hyphen").select("media_id", "line_no", F.lit("hyphen").alias("noise"))
     odd = lines.where("odd").select("media_id", "line_no", F.lit("misread").alias("noise"))
-    whole = fixes.where(~F.col("broken")).select("media_id", "line_no", F.lit("misread").alias("noise"))
-    cutoff = fixes.where("broken").withColumn("h", F.lower("head")).withColumn("t", F.lower("tail"))
+    whole = fixes.where(~F.col("broken") | F.col("half").isNotNull()).select("media_id", "line_no", F.lit("misread").alias("noise"))
+    cutoff = fixes.where(F.col("broken") & F.col("half").isNull()).withColumn("h", F.lower("head")).withColumn("t", F.lower("tail"))
     in_head = cutoff.where(~F.expr("startswith(meant, h)")).select("media_id", "line_no", F.lit("misread").alias("noise"))
     in_tail = cutoff.where(~F.expr("endswith(meant, t)") | F.expr("startswith(meant, h) and endswith(meant, t)")).select(F.col("tail_media").alias("media_id"), F.col("tail_no").alias("line_no"), F.lit("misread").alias("noise"))
     return running.union(hyphen).union(odd).union(whole).union(in_head).union(in_tail).distinct()
+
+
+# ---------------------------------------------------------------- reflow
+
+_FRAGMENTS = "scan string, page_no long, media_id string, fragment int, starts boolean, text string, confidence double"
+_HEADLIKE = re.compile(r"[.!?:;,…][\"'”»)]*$")
+
+
+def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in _FRAGMENTS.split(", ")]
+    for b in batches:
+        rows = []
+        for r in b.itertuples(index=False):
+            fixes: dict[int, list[tuple[int, str, str]]] = {}
+            for f in r.fixes if r.fixes is not None else ():
+                fixes.setdefault(f["line_no"], []).append((f["at"], f["word"], f["meant"]))
+            open_end = r.prev_last is not None and not _HEADLIKE.search(r.prev_last.strip())
+            parts: list[tuple[bool, str]] = []
+            for k, (no, line) in enumerate(zip(r.numbers, r.lines, strict=True)):
+                text = line.strip()
+                for _, word, meant in sorted(fixes.get(no, [])):
+                    text = re.sub(rf"(?<!\w){re.escape(word)}(?!\w)", lambda m, meant=meant: meant.capitalize() if m[0][:1].isupper() else meant, text, count=1, flags=re.I)
+                if k == 0 and r.prev_last is not None and (w := broken_word(r.prev_last, line)):
+                    text = text[text.find(w[1]) + len(w[1]) :].lstrip(" ")
+                nxt = r.lines[k + 1] if k + 1 < len(r.lines) else r.next_first
+                w = broken_word(line, nxt) if nxt is not None else None
+                glue = " "
+                if w:
+                    text = re.sub(r"[-¬­‐]\s*$", "", text)
+                    kept = "-" if "-" in w[0] or w[1][:1].isdigit() or w[0][-1:].isdigit() else ""
+                    text, glue = text + kept, ""
+                    if k + 1 == len(r.lines):
+                        text += w[1]
+                starts = bool(r.blank_before[k]) if k else not open_end
+                if k and not r.blank_before[k] and len(r.lines[k - 1].strip()) < 40 and not _HEADLIKE.search(r.lines[k - 1].strip()) and text[:1].isupper() and r.blank_before[k - 1]:
+                    starts = True  # after a heading
+                if starts or not parts:
+                    parts.append((starts, text + glue))
+                else:
+                    parts[-1] = (parts[-1][0], parts[-1][1] + text + glue)
+            rows += [(r.scan, r.page_no, r.media_id, i, s, t.rstrip(" ") if i + 1 < len(parts) else t, r.confidence) for i, (s, t) in enumerate(parts)]
+        yield pd.DataFrame(rows, columns=names)
+
+
+def paragraphs(media: DataFrame, results: DataFrame) -> DataFrame:
+    """The repaired text: ``scan, paragraph_no, first_page, text, confidence``, in reading order.
+
+    Furniture is left out, broken words are joined (a hyphen stays beside a digit or in a word that has another),
+    misread words are corrected, lines are joined to paragraphs over page ends. A paragraph's number is a running
+    count of beginnings over the scan's pages: only counts per page pass the window, the texts are grouped by paragraph.
+    """
+    from pyspark.sql import Window
+
+    parts, _, fixes = analyse(media, results)
+    whole = fixes.where(~F.col("broken")).groupBy("media_id").agg(F.collect_list(F.struct("line_no", "at", "word", "meant")).alias("fixes"))
+    fragments = cut(parts.join(whole, "media_id", "left").select("scan", "page_no", "media_id", "confidence", "numbers", "lines", "blank_before", "prev_last", "next_first", "fixes").mapInPandas(_reflow, _FRAGMENTS))
+    pages = fragments.groupBy("scan", "page_no").agg(F.count_if("starts").alias("n"))
+    before = pages.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("scan").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = Window.partitionBy("scan", "page_no").orderBy("media_id", "fragment").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = fragments.withColumn("k", F.sum(F.col("starts").cast("long")).over(inner)).join(before.drop("n"), ["scan", "page_no"])
+    numbered = numbered.withColumn("paragraph_no", F.col("before") + F.col("k"))
+    grouped = numbered.groupBy("scan", "paragraph_no").agg(F.sort_array(F.collect_list(F.struct("page_no", "media_id", "fragment", "text"))).alias("f"), F.min("page_no").alias("first_page"), F.min("confidence").alias("confidence"))
+    return grouped.select("scan", "paragraph_no", "first_page", F.trim(F.array_join(F.transform("f", lambda x: x["text"]), "")).alias("text"), "confidence")
