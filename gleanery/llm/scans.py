@@ -340,22 +340,25 @@ _FRAGMENTS = "scan string, page_no long, media_id string, fragment int, starts b
 _HEADLIKE = re.compile(r"[.!?:;,…][\"'”»)]*$")
 
 
+def _cased(read: str, meant: str) -> str:
+    """The correction with the capitals of what was read."""
+    if len(read) == len(meant):
+        return "".join(m.upper() if r.isupper() else m for r, m in zip(read, meant, strict=True))
+    return meant.upper() if read.isupper() else meant.capitalize() if read[:1].isupper() else meant
+
+
 def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in _FRAGMENTS.split(", ")]
     for b in batches:
         rows = []
         for r in b.itertuples(index=False):
-            fixes: dict[int, list[tuple[int, str, str]]] = {}
-            for f in r.fixes if r.fixes is not None else ():
-                fixes.setdefault(f["line_no"], []).append((f["at"], f["word"], f["meant"]))
+            fixes = {f["word"]: f["meant"] for f in r.fixes} if r.fixes is not None else {}
             open_end = r.prev_last is not None and not _HEADLIKE.search(r.prev_last.strip())
             parts: list[tuple[bool, str]] = []
-            for k, (no, line) in enumerate(zip(r.numbers, r.lines, strict=True)):
+            for k, line in enumerate(r.lines):
                 text = line.strip()
-                for _, word, meant in sorted(fixes.get(no, [])):
-                    text = re.sub(rf"(?<!\w){re.escape(word)}(?!\w)", lambda m, meant=meant: meant.capitalize() if m[0][:1].isupper() else meant, text, count=1, flags=re.I)
                 if k == 0 and r.prev_last is not None and (w := broken_word(r.prev_last, line)):
-                    text = text[text.find(w[1]) + len(w[1]) :].lstrip(" ")
+                    text = text[text.find(w[1]) + len(w[1]) :]
                 nxt = r.lines[k + 1] if k + 1 < len(r.lines) else r.next_first
                 w = broken_word(line, nxt) if nxt is not None else None
                 glue = " "
@@ -372,6 +375,8 @@ def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     parts.append((starts, text + glue))
                 else:
                     parts[-1] = (parts[-1][0], parts[-1][1] + text + glue)
+            if fixes:
+                parts = [(s, _TOKEN.sub(lambda m: _cased(m[0], fixes[m[0].casefold()]) if m[0].casefold() in fixes else m[0], t)) for s, t in parts]
             rows += [(r.scan, r.page_no, r.media_id, i, s, t.rstrip(" ") if i + 1 < len(parts) else t, r.confidence) for i, (s, t) in enumerate(parts)]
         yield pd.DataFrame(rows, columns=names)
 
@@ -385,8 +390,11 @@ def paragraphs(media: DataFrame, results: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    parts, _, fixes = analyse(media, results)
-    whole = fixes.where(~F.col("broken")).groupBy("media_id").agg(F.collect_list(F.struct("line_no", "at", "word", "meant")).alias("fixes"))
+    parts, words, fixes = analyse(media, results)
+    known = words.where(F.col("word").isNotNull() & ~F.col("broken")).select("word").distinct()
+    compounds = words.where(F.col("broken") & F.col("half").isNull()).join(known, "word", "left_anti").join(fixes.select("media_id", "word").distinct(), ["media_id", "word"], "left_anti")
+    compounds = compounds.select("media_id", "word", F.lower(F.concat_ws("-", "head", "tail")).alias("meant"))
+    whole = fixes.select("media_id", "word", "meant").union(compounds).groupBy("media_id").agg(F.collect_set(F.struct("word", "meant")).alias("fixes"))
     fragments = cut(parts.join(whole, "media_id", "left").select("scan", "page_no", "media_id", "confidence", "numbers", "lines", "blank_before", "prev_last", "next_first", "fixes").mapInPandas(_reflow, _FRAGMENTS))
     pages = fragments.groupBy("scan", "page_no").agg(F.count_if("starts").alias("n"))
     before = pages.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("scan").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
