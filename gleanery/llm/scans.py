@@ -353,7 +353,7 @@ def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for r in b.itertuples(index=False):
             fixes = {f["word"]: f["meant"] for f in r.fixes} if r.fixes is not None else {}
-            open_end = r.prev_last is not None and not _HEADLIKE.search(r.prev_last.strip())
+            open_end = r.prev_last is not None and not re.search(r"[.!?][\"'”»)]*$", r.prev_last.strip())
             parts: list[tuple[bool, str]] = []
             for k, line in enumerate(r.lines):
                 text = line.strip()
