@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.session import cut
+
 #: Expected items of a block.
 BLOCK_ITEMS = 20_000
 
@@ -144,9 +146,8 @@ def fill_containers(items: DataFrame, capacities: DataFrame, block_items: int =
     is split into full parts and a rest (``part_no``, ``start_token``); no other item is split and none is lost,
     items of size 0 included. Repeated item ids are items of their own. No capacities or no items: no rows.
     """
-    n = items.count()
-    blocks = max(1, -(-n // block_items))
-    sized = items.select("item_id", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("int").alias("size"))
+    sized = cut(items.select("item_id", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("int").alias("size")))  # measured once
+    blocks = max(1, -(-sized.count() // block_items))
     caps = capacities.where(F.col("capacity") > 0).select("limit_name", F.col("capacity").cast("int").alias("capacity"))
     # every item goes to every capacity: an expansion by the fixed number of limits, kept as an array to avoid a cross join
     limits = [(r["limit_name"], r["capacity"]) for r in caps.distinct().orderBy("limit_name").limit(1000).collect()]
