@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.plans import training_core
+from gleanery.plans import reference, training_core
 
-QUERIES = {**training_core.QUERIES}
-ORACLES = {**training_core.ORACLES}
+QUERIES = {**reference.QUERIES, **training_core.QUERIES}
+ORACLES = {**reference.ORACLES, **training_core.ORACLES}
