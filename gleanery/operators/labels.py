@@ -34,8 +34,21 @@ def source_label(kind: Column) -> Column:
     return F.when(S.text(kind) != "", F.coalesce(F.try_element_at(_table(SOURCE), kind), F.concat(F.lit("source."), S.slug(kind))))
 
 
+def with_haystacks(rows: DataFrame) -> DataFrame:
+    """The lower-cased texts that rules search, made once per row and not once per needle."""
+    topics = F.array_join(F.coalesce("topics", F.array().cast("array<string>")), " ") if "topics" in rows.columns else F.lit("")
+    return rows.withColumns(
+        {
+            "__look": F.lower(F.concat_ws(" ", *[S.text(F.col(c)) for c in ("text", "title", "canonical_url")])),
+            "__form": F.lower(F.concat_ws(" ", *[S.text(F.col(c)) for c in ("source_kind", "domain", "canonical_url", "title", "text")])),
+            "__act": F.lower(F.concat_ws(" ", *[S.text(F.col(c)) for c in ("source_kind", "title", "text")], topics)),
+        }
+    )
+
+
 def modality_labels() -> Column:
-    t = F.lower(F.concat_ws(" ", S.text(F.col("text")), S.text(F.col("title")), S.text(F.col("canonical_url"))))
+    """Labels of a row with haystacks."""
+    t = F.col("__look")
     return _kept(
         F.when((F.coalesce("text", F.lit("")) != "") | (F.coalesce("title", F.lit("")) != ""), "modality.text"),
         F.when((F.col("has_media") == 1) | S.contains_any(t, *IMAGE), "modality.image"),
@@ -48,7 +61,7 @@ def modality_labels() -> Column:
 
 def form_label() -> Column:
     """``struct<label, confidence>``: by kind first, then the first rule whose needle is in the row."""
-    hay = F.lower(F.concat_ws(" ", *[S.text(F.col(c)) for c in ("source_kind", "domain", "canonical_url", "title", "text")]))
+    hay = F.col("__form")
     github = S.text(F.col("domain")).contains("github.com")
 
     def made(label: str, confidence: float) -> Column:
@@ -74,7 +87,7 @@ def quality_labels(flags: Column | None = None) -> Column:
 
 
 def action_labels(challenge: Column | None = None) -> Column:
-    hay = F.lower(F.concat_ws(" ", *[S.text(F.col(c)) for c in ("source_kind", "title", "text")], F.array_join(F.coalesce("topics", F.array().cast("array<string>")), " ")))
+    hay = F.col("__act")
     return _kept(
         F.when(challenge, "action.review_capture") if challenge is not None else F.lit(None).cast("string"),
         F.when(S.contains_any(hay, *COMPARE), "action.compare"),
@@ -96,7 +109,8 @@ def annotate(rows: DataFrame) -> DataFrame:
     def texts(c: str, family: str, label, confidence: float) -> Column:
         return F.transform(S.clean_list(F.col(c)), lambda x: F.struct(F.lit(family).alias("family"), label(x).alias("label_id"), F.lit("proposed").alias("status"), F.lit(confidence).alias("confidence"), x.alias("value")))
 
-    form = form_label()
+    rows = with_haystacks(rows).withColumn("__kind", form_label())
+    form = F.col("__kind")
     forms = F.array(F.struct(F.lit("content_form").alias("family"), form["label"].alias("label_id"), F.when(form["confidence"] >= 0.95, "accepted").otherwise("proposed").alias("status"), form["confidence"].alias("confidence"), F.lit("").alias("value")))
     made = F.concat(
         many(_kept(source_label(F.col("source_kind"))), "source", "accepted", 1.0),

@@ -513,7 +513,8 @@ def source_labels(spark, d):
           WHEN contains(hay,'pricing') OR contains(hay,'price') OR contains(hay,'$/mo') OR contains(hay,'free plan') OR contains(hay,'enterprise plan') THEN 'form.pricing_page' WHEN contains(hay,'model card') OR contains(hay,'model-card') THEN 'form.model_card'
           WHEN contains(hay,'blog') OR contains(hay,'release notes') OR contains(hay,'announcing') OR contains(hay,'launching') THEN 'form.blog_post' ELSE 'form.web_page' END AS label FROM h""")
 def content_form_labels(spark, d):
-    return ev(spark, d).where("source_kind = 'web_page'").select("event_id", "evidence_id", labels.form_label()["label"].alias("label"))
+    e = labels.with_haystacks(ev(spark, d).where("source_kind = 'web_page'"))
+    return e.select("event_id", "evidence_id", labels.form_label()["label"].alias("label"))
 
 
 @query("""SELECT event_id, evidence_id, has_ocr = 1 AS has_ocr, coalesce(canonical_url,'') <> '' AND source_kind = 'web_page' AS direct, source_kind = 'user_input' AS user_supplied FROM evidence_events""")
