@@ -59,12 +59,14 @@ class Mapped:
     def __init__(self, text: str) -> None:
         self.text, self.starts, self.sources = text, [0], [0]
         self.words: set[str] = set()
+        self.spelled: list[tuple[int, int]] = []
 
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """Applies edits ``(start, end, replacement)``, sorted and apart, to the present text."""
+    def rewrite(self, edits: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+        """Applies edits ``(start, end, replacement)``, sorted and apart, to the present text; where they now stand."""
         if not edits:
-            return
+            return []
         parts, starts, sources, at, done = [], [], [], 0, 0
+        made = []
 
         def keep(upto: int) -> None:
             nonlocal done
@@ -81,6 +83,7 @@ class Mapped:
 
         for start, end, new in edits:
             keep(start)
+            made.append((done, done + len(new)))
             if new:
                 starts.append(done)
                 sources.append(self.source(start))
@@ -94,6 +97,12 @@ class Mapped:
         starts.append(done)
         sources.append(self.source(len(self.text)))
         self.text, self.starts, self.sources = "".join(parts), starts, sources
+        return made
+
+    def source_end(self, end: int) -> int:
+        """Where the source of the characters before ``end`` ends."""
+        last = self.source(end - 1)
+        return max(last + 1, self.source(end)) if end - 1 in self.starts else last + 1
 
     def source(self, offset: int) -> int:
         k = bisect_right(self.starts, offset) - 1
@@ -114,8 +123,6 @@ def normalise(text: str) -> Mapped:
             m.rewrite([(x.start(), x.end(), c) for x in _MARKS.finditer(m.text) if len(c := unicodedata.normalize("NFC", x[0])) < len(x[0])])
     lower = m.text.casefold()
     m.words = set(_LETTERS.findall(lower))
-    if len(m.words & _DIGIT_WORDS.keys()) >= 3 and _SPELLED_HINT.search(lower):
-        m.rewrite([(x.start(), x.end(), "".join(_DIGIT_WORDS[w.casefold()] for w in re.split(r"[\s-]+", x[0]))) for x in _SPELLED.finditer(m.text)])
     if any(w in lower for w in _DISGUISE_WORDS):
         edits = []
         for x in _DISGUISED.finditer(m.text):
@@ -123,6 +130,8 @@ def normalise(text: str) -> Mapped:
             edits.append((*x.span(at), "@"))
             edits += [(x.start(host) + y.start(), x.start(host) + y.end(), ".") for y in _DOT.finditer(x[host])]
         m.rewrite(edits)
+    if len(m.words & _DIGIT_WORDS.keys()) >= 3 and _SPELLED_HINT.search(m.text):
+        m.spelled = m.rewrite([(x.start(), x.end(), "".join(_DIGIT_WORDS[w.casefold()] for w in re.split(r"[\s-]+", x[0]))) for x in _SPELLED.finditer(m.text)])
     return m
 
 
@@ -289,7 +298,7 @@ def find_pii(text: str | None, given: frozenset[str] = frozenset(), family: froz
 
     def add(start: int, end: int, kind: str) -> None:
         taken.append((start, end))
-        found.append((m.source(start), m.source(end - 1) + 1, kind))
+        found.append((m.source(start), m.source_end(end), kind))
 
     i = t.find("@")
     while i >= 0:
@@ -319,6 +328,9 @@ def find_pii(text: str | None, given: frozenset[str] = frozenset(), family: froz
         for x in _PHONE_CUED.finditer(t):
             if 6 < sum(c.isdigit() for c in x["v"]) <= 16 and free(*x.span("v")):
                 add(*x.span("v"), "phone")
+    for a, b in m.spelled:  # nobody spells out a figure of seven digits and more
+        if 7 <= b - a <= 15 and free(a, b):
+            add(a, b, "phone")
     for a, b in windows:
         for x in _PHONE.finditer(t, a, b):
             if 6 < sum(c.isdigit() for c in x[0]) <= 16 and free(*x.span()) and not _NOT_PHONE.search(t, max(0, x.start() - 24), x.start()):
@@ -380,22 +392,40 @@ def learn_names(texts: DataFrame, known: DataFrame, text: str = "text", known_na
     return cut(family.select(F.lit("family").alias("kind"), "name").union(given.select(F.lit("given"), "name")))
 
 
-def _lexica(spark, names: DataFrame):
-    n = names.count()
-    if n > BROADCAST_NAMES:
-        raise ValueError(f"{n} learned names are too many to broadcast; raise BROADCAST_NAMES with the executors' memory")
-    rows = names.toPandas()
-    sets = tuple(frozenset(rows.loc[rows["kind"] == k, "name"]) for k in ("given", "family"))
-    return spark.sparkContext.broadcast(sets)
+class _Lexica:
+    """The learned names for the workers: broadcast while they are few, else each text's own, joined to its row."""
+
+    def __init__(self, texts: DataFrame, known: DataFrame, text: str) -> None:
+        names = learn_names(texts, known, text)
+        self.text, self.texts, self.shared, self.extra = text, texts, None, ()
+        if names.count() <= BROADCAST_NAMES:
+            rows = names.toPandas()
+            self.shared = texts.sparkSession.sparkContext.broadcast(tuple(frozenset(rows.loc[rows["kind"] == k, "name"]) for k in ("given", "family")))
+            return
+        keyed = texts.withColumn("__text_id", F.xxhash64(F.col(text)))
+        words = keyed.select("__text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))).alias("name")).distinct()
+        own = words.join(names, "name").groupBy("__text_id").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("name"))).alias(f"__{k}") for k in ("given", "family")])
+        self.texts, self.extra = keyed.join(own, "__text_id", "left").drop("__text_id"), ("__given", "__family")
+
+    def reader(self):
+        """For a worker: the names that hold for each row of a batch."""
+        shared = self.shared
+
+        def of(batch: pa.RecordBatch) -> Iterator[tuple[frozenset[str], frozenset[str]]]:
+            if shared is not None:
+                sets = shared.value
+                return iter([sets] * batch.num_rows)
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__given", "__family")]
+            return iter([(frozenset(g or ()), frozenset(f or ())) for g, f in zip(*columns, strict=True)])
+
+        return of
 
 
-def _detected(lexica, key: str, text: str):
+def _detected(names, key: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, family = lexica.value
         for b in batches:
-            at, keys = [], []
-            kinds, starts, ends = [], [], []
-            for i, t in enumerate(b.column(b.schema.get_field_index(text)).to_pylist()):
+            at, kinds, starts, ends = [], [], [], []
+            for i, (t, (given, family)) in enumerate(zip(b.column(b.schema.get_field_index(text)).to_pylist(), names(b), strict=True)):
                 for s, e, k in find_pii(t, given, family):
                     at.append(i)
                     kinds.append(k)
@@ -409,23 +439,22 @@ def _detected(lexica, key: str, text: str):
 
 def detect(texts: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per occurrence: key, pii_type, start_char, end_char. One aggregation for the lexica, then a map."""
-    lexica = _lexica(texts.sparkSession, learn_names(texts, known, text))
+    lexica = _Lexica(texts.select(key, text), known, text)
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInArrow(_detected(lexica, key, text), f"`{key}` {kind}, pii_type string, start_char int, end_char int")
+    return lexica.texts.select(key, text, *lexica.extra).mapInArrow(_detected(lexica.reader(), key, text), f"`{key}` {kind}, pii_type string, start_char int, end_char int")
 
 
-def _masked(lexica, text: str):
+def _masked(names, text: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, family = lexica.value
         for b in batches:
             at = b.schema.get_field_index(text)
-            clean = [replace_pii(t, find_pii(t, given, family)) for t in b.column(at).to_pylist()]
-            yield b.set_column(at, b.schema.field(at), pa.array(clean, b.schema.field(at).type))
+            clean = [replace_pii(t, find_pii(t, given, family)) for t, (given, family) in zip(b.column(at).to_pylist(), names(b), strict=True)]
+            yield b.set_column(at, b.schema.field(at), pa.array(clean, b.schema.field(at).type)).select(columns)
 
     return run
 
 
 def mask(texts: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """The table with every occurrence in ``text`` replaced by a placeholder of its type; null stays null."""
-    lexica = _lexica(texts.sparkSession, learn_names(texts, known, text))
-    return texts.mapInArrow(_masked(lexica, text), texts.schema)
+    lexica = _Lexica(texts, known, text)
+    return lexica.texts.select(*texts.columns, *lexica.extra).mapInArrow(_masked(lexica.reader(), text, texts.columns), texts.schema)

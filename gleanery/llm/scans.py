@@ -35,6 +35,8 @@ FREQUENT, RATIO, RATIO_IN_CONTEXT, FIT = 4, 24.0, 8.0, 0.2
 #: The lower ratio is for words this rare; above SURE a link holds whatever its context.
 FEW, SURE = 3, 200.0
 VECTOR_SIZE, WINDOW = 24, 3
+#: A longer line is no header.
+LONGEST_HEADER = 90
 
 _NUMBER = r"(?:(?=[\w]*\d)[0-9OolIiSsBZGq|]{1,6}|[ivxlcIVXLC]{1,7}|[lOISBZ]{1,4})"
 _PAGE_NO = re.compile(rf"[\W_]*(?:(?:[Pp][a@]g[ec]|[Ss]eite|[Pp][áa@]gina|[Pp]\.|S\.)\s*)?{_NUMBER}(?:\s*(?:[o0][ft]|von|d[ec]|sur|/)\s*{_NUMBER})?[\W_]*")
@@ -76,7 +78,7 @@ def split_page(text: str | None, page_no: int | None, title: str | None, heading
     """
     lines = [(n, raw) for n, raw in enumerate((text or "").split("\n"), 1) if raw.strip()]
     running: list[int] = []
-    named = {k for k in (skeleton(title), skeleton(heading)) if len(k) >= 4}
+    named = {skeleton(x) for x in (title, heading) if x and len(x) <= LONGEST_HEADER and len(skeleton(x)) >= 4}
     lo, hi = 0, len(lines)
     while lo < hi and _PAGE_NO.fullmatch(lines[lo][1].strip()):
         running.append(lines[lo][0])
@@ -282,7 +284,10 @@ def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
     """
     links = cut(link_words(counts))
     hits = cut(words.where(F.col("word").isNotNull()).join(links, "word"))
-    vectors = cut(learn_vectors(words, max(2, words.sparkSession.sparkContext.defaultParallelism)))
+    if counts.where(F.col("n") > FREQUENT).isEmpty():  # no word is frequent enough to have a vector
+        vectors = words.sparkSession.createDataFrame([], "word string, vector array<double>")
+    else:
+        vectors = cut(learn_vectors(words, max(2, words.sparkSession.sparkContext.defaultParallelism)))
     near = hits.select("media_id", "at", F.explode(F.array_distinct("near")).alias("word")).distinct().join(vectors, "word")
     mean = near.groupBy("media_id", "at").agg(*[F.avg(F.element_at("vector", i + 1)).alias(f"v{i}") for i in range(VECTOR_SIZE)])
     mean = mean.select("media_id", "at", F.array(*[f"v{i}" for i in range(VECTOR_SIZE)]).alias("context"))
