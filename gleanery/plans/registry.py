@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.plans import reference, training_core
+from gleanery.plans import reference, reference_more, training_core
 
-QUERIES = {**reference.QUERIES, **training_core.QUERIES}
-ORACLES = {**reference.ORACLES, **training_core.ORACLES}
+QUERIES = {**reference_more.QUERIES, **training_core.QUERIES}
+ORACLES = {**reference_more.ORACLES, **training_core.ORACLES}

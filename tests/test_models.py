@@ -116,3 +116,16 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "docs" / "a.md").write_text("# T")
     (tmp_path / "docs" / "b.bin").write_text("x")
     assert readers.text_documents(spark, str(tmp_path / "docs")).count() == 1 and readers.folder_stats(spark, str(tmp_path / "docs")).count() == 2
+
+
+def test_tasks(spark):
+    from gleanery.operators import tasks
+
+    assert tasks.lookup_keys("https://x.com/Ann/status/12345") == ["post/12345", "web_document/https://x.com/Ann/status/12345"]
+    assert tasks.lookup_keys("@Ann_B") == ["account/ann_b"] and tasks.lookup_keys("post/9") == ["post/9"] and tasks.lookup_keys(" ") == []
+    ev = spark.createDataFrame([("m", "media", "seen text", "a caption"), ("w", "web_page", " \n", None), ("p", "x_post", "hello", None)], "evidence_id string, source_kind string, text string, title string")
+    got = {(r.evidence_id, r.vector_name): r.text for r in tasks.embedding_tasks(ev).collect()}
+    assert got == {("m", "ocr_dense"): "seen text", ("m", "caption_dense"): "a caption", ("p", "text_dense"): "hello"}
+    media = spark.createDataFrame([("a", "s1", "image", dt.datetime(2025, 1, 1), "o1"), ("a", "s2", "image", dt.datetime(2025, 1, 2), "o2"), ("b", "s3", "image", dt.datetime(2025, 1, 3), "o3")], "media_id string, sha256 string, media_kind string, captured_at timestamp_ntz, observation_id string")
+    done = spark.createDataFrame([("s3", "ok"), ("s2", "failed")], "source_sha256 string, status string")
+    assert {(r.media_id, r.sha256, r.lane) for r in tasks.route_media(media, done).collect()} == {("a", "s2", x) for x in ("ocr", "vl", "embed")}
