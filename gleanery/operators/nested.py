@@ -32,13 +32,17 @@ _COLUMNS = [x.split()[0] for x in OCCURRENCES.split(", ")]
 _FLUSH = 20_000
 
 
+def _refuse(constant: str) -> Any:
+    raise ValueError(f"{constant} is no JSON")
+
+
 def decode(text: Any) -> Any:
     """What a JSON text encodes, JSON text inside a JSON string included; None where it encodes nothing."""
     value = text
     while isinstance(value, str):
         value = value.lstrip("﻿")
         try:
-            value = json.loads(value)
+            value = json.loads(value, parse_constant=_refuse)
         except (ValueError, RecursionError):
             return None
     return value

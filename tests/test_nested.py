@@ -57,6 +57,10 @@ def test_records_without_identity_or_shape_give_none():
     assert nested.record_id({"collector_run_id": "r", "event_index": 2.0}) == "r:2"
 
 
+def test_decoding():
+    assert nested.decode('"\\"{}\\""') == {} and nested.decode("\ufeff{}") == {} and nested.decode('{"a": NaN}') is None and nested.decode(None) is None
+
+
 def test_very_deep_record():
     deep = {"v": 1}
     for _ in range(3000):
