@@ -102,7 +102,7 @@ def facets_topn(spark, d):
     return A.facets(ev(spark, d), ["source_project", "source_kind", "capture_method", "domain", "author_handle"])
 
 
-@query("""SELECT count(*) AS n, count_if(has_media = 1) AS with_media, count_if(has_ocr = 1) AS with_ocr, count_if(coalesce(text, '') = '') AS no_text, count_if(coalesce(domain, '') = '') AS no_domain, count_if(len(links) > 0) AS with_links FROM evidence_events""")
+@query("""SELECT count(*) AS n, count(*) FILTER (WHERE has_media = 1) AS with_media, count(*) FILTER (WHERE has_ocr = 1) AS with_ocr, count(*) FILTER (WHERE coalesce(text, '') = '') AS no_text, count(*) FILTER (WHERE coalesce(domain, '') = '') AS no_domain, count(*) FILTER (WHERE len(links) > 0) AS with_links FROM evidence_events""")
 def conditional_counts(spark, d):
     e = ev(spark, d)
     return e.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("has_media") == 1).alias("with_media"), F.count_if(F.col("has_ocr") == 1).alias("with_ocr"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("no_text"), F.count_if(F.coalesce("domain", F.lit("")) == "").alias("no_domain"), F.count_if(F.size("links") > 0).alias("with_links"))
@@ -113,7 +113,7 @@ def multi_capture_groups(spark, d):
     return ev(spark, d).groupBy("evidence_id").count().where("count > 1").agg(F.count(F.lit(1)).alias("multi"))
 
 
-@query("""SELECT source_project, count(DISTINCT evidence_id) AS sources, count(*) AS captures, count_if(source_kind = 'web_page') AS web, count_if(source_kind = 'x_post') AS posts, count_if(source_kind = 'media') AS media,
+@query("""SELECT source_project, count(DISTINCT evidence_id) AS sources, count(*) AS captures, count(*) FILTER (WHERE source_kind = 'web_page') AS web, count(*) FILTER (WHERE source_kind = 'x_post') AS posts, count(*) FILTER (WHERE source_kind = 'media') AS media,
           min(captured_at) AS first_at, max(captured_at) AS last_at FROM evidence_events GROUP BY 1""")
 def projects(spark, d):
     k = F.col("source_kind")
@@ -135,13 +135,13 @@ def entity_extracted(spark, d):
     return one("topics").union(one("entities")).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("evidence_id").alias("sources"))
 
 
-@query("""SELECT value, list_slice(list_sort(list_distinct(list(evidence_id))), 1, 12)::VARCHAR[] AS samples FROM (SELECT evidence_id, unnest(entities) AS value FROM evidence_events) GROUP BY 1""")
+@query("""SELECT value, array_to_string(list_slice(list_sort(list_distinct(list(evidence_id))), 1, 12), '|') AS samples FROM (SELECT evidence_id, unnest(entities) AS value FROM evidence_events) GROUP BY 1""")
 def entity_samples(spark, d):
     e = ev(spark, d).select(F.explode("entities").alias("value"), "evidence_id")
-    return e.groupBy("value").agg(F.slice(F.sort_array(F.collect_set("evidence_id")), 1, 12).alias("samples"))
+    return e.groupBy("value").agg(F.array_join(F.slice(F.sort_array(F.collect_set("evidence_id")), 1, 12), "|").alias("samples"))
 
 
-@query("""SELECT queue, n FROM (SELECT count_if(coalesce(text,'')='') AS no_text, count_if(coalesce(title,'')='') AS no_title, count_if(has_ocr=1) AS ocr, count_if(length(text)>3600) AS oversized FROM evidence_events)
+@query("""SELECT queue, n FROM (SELECT count(*) FILTER (WHERE coalesce(text,'')='') AS no_text, count(*) FILTER (WHERE coalesce(title,'')='') AS no_title, count(*) FILTER (WHERE has_ocr=1) AS ocr, count(*) FILTER (WHERE length(text)>3600) AS oversized FROM evidence_events)
           UNPIVOT (n FOR queue IN (no_text, no_title, ocr, oversized))""")
 def queue_counts(spark, d):
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
@@ -175,14 +175,14 @@ def coverage_cube(spark, d):
     return ev(spark, d).cube("source_kind", "source_project").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT source_project, count_if(source_kind='web_page') AS web_page, count_if(source_kind='x_post') AS x_post, count_if(source_kind='media') AS media, count_if(source_kind='search_result') AS search_result FROM evidence_events GROUP BY 1""")
+@query("""SELECT source_project, count(*) FILTER (WHERE source_kind='web_page') AS web_page, count(*) FILTER (WHERE source_kind='x_post') AS x_post, count(*) FILTER (WHERE source_kind='media') AS media, count(*) FILTER (WHERE source_kind='search_result') AS search_result FROM evidence_events GROUP BY 1""")
 def coverage_pivot(spark, d):
     kinds = ["web_page", "x_post", "media", "search_result"]
     out = ev(spark, d).groupBy("source_project").pivot("source_kind", kinds).count()
     return out.select("source_project", *[F.coalesce(F.col(k), F.lit(0)).alias(k) for k in kinds])
 
 
-@query("""SELECT source_project, CAST(CASE WHEN n <= 0 THEN 0 ELSE greatest(0, least(100, round_even(100.0 * part / n, 0))) END AS INTEGER) AS percent FROM (SELECT source_project, count(*) AS n, count_if(coalesce(text,'')<>'') AS part FROM evidence_events GROUP BY 1)""")
+@query("""SELECT source_project, CAST(CASE WHEN n <= 0 THEN 0 ELSE greatest(0, least(100, round_even(100.0 * part / n, 0))) END AS INTEGER) AS percent FROM (SELECT source_project, count(*) AS n, count(*) FILTER (WHERE coalesce(text,'')<>'') AS part FROM evidence_events GROUP BY 1)""")
 def percent_completion(spark, d):
     g = ev(spark, d).groupBy("source_project").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("text", F.lit("")) != "").alias("part"))
     return g.select("source_project", S.percent(F.col("part"), F.col("n")).cast("int").alias("percent"))
@@ -212,7 +212,7 @@ def first_last_per_key(spark, d):
 @query("""SELECT run_id, status, created_at, rn FROM (SELECT run_id, status, created_at, row_number() OVER (PARTITION BY source_project ORDER BY created_at DESC, run_id) AS rn FROM ops_canary_runs) WHERE rn <= 3""")
 def topk_per_group(spark, d):
     w = Window.partitionBy("source_project").orderBy(F.desc("created_at"), "run_id")
-    return table(spark, d, "ops_canary_runs").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("run_id", "status", "created_at", "rn")
+    return table(spark, d, "ops_canary_runs").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("run_id", "status", "created_at", F.col("rn").cast("long").alias("rn"))
 
 
 @query("""SELECT user_id, count(*) AS sessions FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) WHERE new = 1 GROUP BY 1""")
@@ -225,7 +225,7 @@ def attempt_fold(spark, d):
 @query("""SELECT event_id, user_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) > 0 AS positive, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS quarter FROM events""")
 def running_windows(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", "user_id", (F.sum("value").over(w.rowsBetween(-2, 0)) > 0).alias("positive"), F.ntile(4).over(w).alias("quarter"))
+    return table(spark, d, "events").select("event_id", "user_id", (F.sum("value").over(w.rowsBetween(-2, 0)) > 0).alias("positive"), F.ntile(4).over(w).cast("long").alias("quarter"))
 
 
 # ------------------------------------------------------------------ filters and projections

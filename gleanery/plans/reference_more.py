@@ -11,10 +11,10 @@ from gleanery.plans.reference import ORACLES, QUERIES, ev, query  # noqa: F401
 from gleanery.sources import sinks, table
 
 
-@query("""SELECT evidence_id, count(*) AS rows, count(DISTINCT title) AS titles, list_sort(list(DISTINCT title))::VARCHAR[] AS options FROM evidence_latest WHERE coalesce(title, '') <> '' GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT title) > 1""")
+@query("""SELECT evidence_id, count(*) AS rows, count(DISTINCT title) AS titles, array_to_string(list_sort(list(DISTINCT title)), '|') AS options FROM evidence_latest WHERE coalesce(title, '') <> '' GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT title) > 1""")
 def conflict_clusters(spark, d):
     g = table(spark, d, "evidence_latest").where(F.coalesce("title", F.lit("")) != "").groupBy("evidence_id")
-    return g.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("title").alias("titles"), F.sort_array(F.collect_set("title")).alias("options")).where("rows > 1 AND titles > 1")
+    return g.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("title").alias("titles"), F.array_join(F.sort_array(F.collect_set("title")), "|").alias("options")).where("rows > 1 AND titles > 1")
 
 
 @query("""SELECT lower(trim(e)) AS identity, min(e) AS canonical, len(list_distinct(list(e))) AS names, count(DISTINCT evidence_id) AS sources, CASE WHEN len(list_distinct(list(e))) > 1 OR count(*) > 1 THEN 'merge_cluster' ELSE 'single' END AS kind FROM (SELECT evidence_id, unnest(entities) AS e FROM evidence_latest) WHERE trim(e) <> '' GROUP BY 1""")
@@ -24,10 +24,10 @@ def canonical_groups(spark, d):
     return g.select("identity", "canonical", "names", "sources", F.when((F.col("names") > 1) | (F.col("n") > 1), "merge_cluster").otherwise("single").alias("kind"))
 
 
-@query("""SELECT evidence_id, list_sort(list_filter(list_distinct(list(title)), lambda x: x <> m))::VARCHAR[] AS aliases FROM (SELECT evidence_id, title, min(title) OVER (PARTITION BY evidence_id) AS m FROM evidence_latest WHERE title IS NOT NULL) GROUP BY evidence_id, m""")
+@query("""SELECT evidence_id, array_to_string(list_sort(list_filter(list_distinct(list(title)), lambda x: x <> m)), '|') AS aliases FROM (SELECT evidence_id, title, min(title) OVER (PARTITION BY evidence_id) AS m FROM evidence_latest WHERE title IS NOT NULL) GROUP BY evidence_id, m""")
 def alias_minus(spark, d):
     g = table(spark, d, "evidence_latest").where("title IS NOT NULL").groupBy("evidence_id").agg(F.sort_array(F.collect_set("title")).alias("t"), F.min("title").alias("m"))
-    return g.select("evidence_id", F.array_except("t", F.array("m")).alias("aliases"))
+    return g.select("evidence_id", F.array_join(F.array_except("t", F.array("m")), "|").alias("aliases"))
 
 
 @query("""SELECT doc_id, CASE WHEN contains(t, ':') THEN trim(split_part(t, ':', 1)) WHEN contains(t, ' is ') THEN trim(split_part(t, ' is ', 1)) ELSE '' END AS subject, contains(t, ':') OR contains(t, ' is ') AS has_sign FROM (SELECT doc_id, trim(title) AS t FROM documents WHERE title IS NOT NULL)""")
@@ -64,10 +64,10 @@ def backfill_latest(spark, d):
     return A.latest_by(e, ["evidence_id"], ["captured_at", "event_id"], ["title", "captured_at"])
 
 
-@query("""SELECT evidence_id, list_sort(list_distinct(flatten(list(topics))))::VARCHAR[] AS topics, max(has_media) AS has_media FROM evidence_events WHERE topics IS NOT NULL GROUP BY 1""")
+@query("""SELECT evidence_id, array_to_string(list_sort(list_distinct(flatten(list(topics)))), '|') AS topics, max(has_media) AS has_media FROM evidence_events WHERE topics IS NOT NULL GROUP BY 1""")
 def planner_evidence(spark, d):
     g = ev(spark, d).where("topics IS NOT NULL").groupBy("evidence_id")
-    return g.agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("topics"), F.max("has_media").alias("has_media"))
+    return g.agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("topics")))), "|").alias("topics"), F.max("has_media").alias("has_media"))
 
 
 @query("""SELECT record_id, evidence_id FROM evidence_latest WHERE starts_with(evidence_id, 'web_document/0')""")
@@ -116,9 +116,9 @@ def event_subject(spark, d):
     return own.union(linked).groupBy("evidence_id").agg(F.countDistinct("event_id").alias("events"), F.count_if(F.col("via") == "link").alias("by_link"))
 
 
-@query("""SELECT m.media_id, list_sort(list_distinct(list(o.ocr_id) FILTER (o.ocr_id IS NOT NULL)))::VARCHAR[] AS runs FROM (SELECT DISTINCT media_id FROM media_observed) m LEFT JOIN media_ocr_results o ON o.evidence_id = m.media_id GROUP BY 1 HAVING count(o.ocr_id) > 0""")
+@query("""SELECT m.media_id, array_to_string(list_sort(list_distinct(list(o.ocr_id) FILTER (o.ocr_id IS NOT NULL))), '|') AS runs FROM (SELECT DISTINCT media_id FROM media_observed) m LEFT JOIN media_ocr_results o ON o.evidence_id = m.media_id GROUP BY 1 HAVING count(o.ocr_id) > 0""")
 def group_links(spark, d):
-    runs = table(spark, d, "media_ocr_results").groupBy(F.col("evidence_id").alias("media_id")).agg(F.sort_array(F.collect_set("ocr_id")).alias("runs"))
+    runs = table(spark, d, "media_ocr_results").groupBy(F.col("evidence_id").alias("media_id")).agg(F.array_join(F.sort_array(F.collect_set("ocr_id")), "|").alias("runs"))
     return table(spark, d, "media_observed").select("media_id").distinct().join(runs, "media_id")
 
 
