@@ -26,10 +26,10 @@ from gleanery.session import cut
 
 #: What a recogniser makes of glyphs: read -> meant (fixed list of look-alikes).
 GLYPHS = (
-    ("c", "e"), ("f", "t"), ("0", "o"), ("@", "a"), ("j", "i"), ("1", "l"), ("b", "h"), ("q", "g"), ("5", "s"), ("8", "b"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("ii", "ü"), ("h", "li"), ("rm", "nn"), ("b", "ß"), ("6", "b"), ("l", "i"), ("n", "ri"), ("m", "rn"), ("d", "cl"), ("h", "b"), ("e", "c"), ("t", "f"), ("i", "l"), ("g", "q"),
+    ("c", "e"), ("f", "t"), ("0", "o"), ("@", "a"), ("j", "i"), ("1", "l"), ("b", "h"), ("q", "g"), ("5", "s"), ("8", "b"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("ii", "ü"), ("h", "li"), ("rm", "nn"), ("b", "ß"), ("b", "ss"), ("6", "g"), ("6", "b"), ("l", "i"), ("n", "ri"), ("m", "rn"), ("d", "cl"), ("h", "b"), ("e", "c"), ("t", "f"), ("i", "l"), ("g", "q"),
 )
 #: Edits that no spelling explains otherwise: digits and signs inside words.
-STRONG = frozenset("01@5")
+STRONG = frozenset("01@58")
 #: A word is frequent from this count on; a link needs this ratio of counts, a lower one with a fitting context.
 FREQUENT, RATIO, RATIO_IN_CONTEXT, FIT = 4, 24.0, 8.0, 0.2
 #: The lower ratio is for words this rare; above SURE a link holds whatever its context.
