@@ -295,7 +295,8 @@ def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
     scored = hits.join(mean, ["media_id", "at"], "left").join(target, "meant", "left")
     fit = F.when(F.col("context").isNull() | F.col("vector").isNull(), F.lit(0.0)).otherwise(_cosine(F.col("context"), F.col("vector")))
     scored = scored.withColumn("fit", fit)
-    asked = F.lit(RATIO) * F.coalesce(F.greatest(F.lit(0.8), F.least(F.lit(1.0), F.col("confidence"))), F.lit(1.0))
+    # the oftener a spelling occurs, the likelier it is a word of its own
+    asked = (F.lit(RATIO) + F.least(F.lit(RATIO / 2), F.col("n") / 4)) * F.coalesce(F.greatest(F.lit(0.8), F.least(F.lit(1.0), F.col("confidence"))), F.lit(1.0))
     held = (F.col("ratio") >= asked) & ((F.col("fit") >= 0) | (F.col("ratio") >= SURE))
     good = scored.where(F.col("strong") | held | ((F.col("ratio") >= RATIO_IN_CONTEXT) & (F.col("fit") >= FIT) & (F.col("n") <= FEW)))
     best = good.groupBy("media_id", "at", "half").agg(F.max_by(F.struct("line_no", "word", "meant", "broken", "head", "tail", "tail_media", "tail_no", "fit", "ratio"), F.struct(F.col("fit") + F.log10("ratio"), F.col("meant"))).alias("b"))
