@@ -51,6 +51,7 @@ _BAD = (
     r"nothing on this page is", r"[^.]{1,40} offers no \w+ advice", r"[^.]{1,40} is hosted (?:by|on)\b", r"[^.]{1,40} no se hace responsable", r"[^.]{1,40} (?:haftet nicht|prüft nicht)", r"(?:imprint|impressum|aviso legal|mentions légales)\b.{0,60}$",
     # walls
     r"please (?:sign|log) in\b", r"(?:bitte )?(?:melden sie sich an|anmelden, um)", r"(?:por favor,? )?(?:inicie|inicia) sesión", r"(?:veuillez vous connecter|connectez-vous)", r".{0,60}\b(?:create an account|konto anlegen|cree una cuenta|créez un compte)\b",
+    r"[45]\d\d\b ?[–—:-]", r"(?:checking your browser|(?:wir )?(?:prüfen|prüfe) ihren browser|comprobando su navegador|vérification de votre navigateur)\b",
     # single cross references
     r"(?:see also|related|read also|read next|read more|also read|siehe auch|lesen sie auch|auch lesenswert|mehr dazu|dazu|vea también|véase también|ver también|lea también|relacionado|le puede interesar|voir aussi|lire aussi|à lire aussi|à lire|lié) ?:",
 )

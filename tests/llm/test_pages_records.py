@@ -32,6 +32,7 @@ def test_main_body():
     untitled = [n for n, x in B.classify(PAGE, None, None) if x == "good"]
     assert untitled == good
     assert B.main_body(None, "t", "d") is None and B.main_body(" \n", None, None) == "" and B.classify("", None, None) == []
+    assert all(B.main_body(x, "T", "s.test") == "" for x in ("404 – the page you asked for is gone.", "Checking your browser before you continue…"))
     assert B.main_body("Access denied. Your request was blocked (ref 1).", "T", "s.test") == ""
 
 
