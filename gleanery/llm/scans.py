@@ -19,6 +19,7 @@ from itertools import combinations
 
 import pandas as pd
 from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,7 +189,7 @@ def split_pages(pages: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- words
 
-_WORDS = "media_id string, line_no int, at int, word string, near array<string>, broken boolean, head string, tail string, tail_media string, tail_no int, confidence double, hyphen boolean, odd boolean, half string"
+_WORDS = "media_id string, line_no int, at int, word string, broken boolean, head string, tail string, tail_media string, tail_no int, confidence double, hyphen boolean, odd boolean, half string"
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,15 +215,13 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if w:
                     page.append([no, w[0] + w[1], True, w[0], w[1], nxt[0], None if nxt[1] is None else int(nxt[1])])
                     skip = (lines[k + 1][1].find(w[1]) + len(w[1])) if not last else 0
-                rows.append((r.media_id, no, -1, None, None, False, None, None, None, None, r.confidence, bool(w), bool(_ODD_NUMBER.search(line)), None))
-            plain = [p[1].casefold() for p in page]
+                rows.append((r.media_id, no, -1, None, False, None, None, None, None, r.confidence, bool(w), bool(_ODD_NUMBER.search(line)), None))
             for i, p in enumerate(page):
-                near = plain[max(0, i - WINDOW) : i] + plain[i + 1 : i + 1 + WINDOW]
-                rows.append((r.media_id, p[0], i, p[1].casefold(), near, p[2], p[3], p[4], p[5], p[6], r.confidence, False, False, None))
+                rows.append((r.media_id, p[0], i, p[1].casefold(), p[2], p[3], p[4], p[5], p[6], r.confidence, False, False, None))
                 if p[2]:  # its halves as words of their own, should the whole be a compound
-                    rows.append((r.media_id, p[0], i, p[3].rpartition("-")[2].casefold(), near, True, p[3], p[4], p[5], p[6], r.confidence, False, False, "head"))
+                    rows.append((r.media_id, p[0], i, p[3].rpartition("-")[2].casefold(), True, p[3], p[4], p[5], p[6], r.confidence, False, False, "head"))
                     if p[5] is not None:
-                        rows.append((p[5], p[6], -2 - i, p[4].casefold(), near, True, p[3], p[4], p[5], p[6], r.confidence, False, False, "tail"))
+                        rows.append((p[5], p[6], -2 - i, p[4].casefold(), True, p[3], p[4], p[5], p[6], r.confidence, False, False, "tail"))
             if len(rows) > 50_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
@@ -230,7 +229,7 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def page_words(parts: DataFrame) -> DataFrame:
-    """Every word of the text lines with its neighbours (broken words joined), and a row (at = -1) for each line."""
+    """Every word of the text lines (broken words joined) with its place, and a row (at = -1) for each line."""
     return parts.mapInPandas(_tokens, _WORDS)
 
 
@@ -255,16 +254,18 @@ def link_words(counts: DataFrame) -> DataFrame:
     return linked.where((ratio >= RATIO_IN_CONTEXT) | F.col("strong")).select("word", "meant", "strong", ratio.alias("ratio"), "n")
 
 
-def learn_vectors(words: DataFrame, partitions: int) -> DataFrame:
-    """Skip-gram vectors of the frequent words: ``word, vector array<double>``.
-
-    Every page is a sentence. The model's size is bounded by the vocabulary of words of at least FREQUENT + 1.
-    """
+def sentences(words: DataFrame) -> DataFrame:
+    """``media_id, words``: every page as one sentence; a word's place is its index."""
     pages = words.where(F.col("word").isNotNull() & F.col("half").isNull()).groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("w"))
-    pages = pages.select(F.transform("w", lambda x: x["word"]).alias("words"))
-    model = Word2Vec(vectorSize=VECTOR_SIZE, windowSize=WINDOW, minCount=FREQUENT + 1, maxIter=1, numPartitions=partitions, stepSize=0.05, seed=7, inputCol="words", outputCol="v", maxSentenceLength=1000).fit(pages)
-    from pyspark.ml.functions import vector_to_array
+    return pages.select("media_id", F.transform("w", lambda x: x["word"]).alias("words"))
+
 
+def learn_vectors(pages: DataFrame, partitions: int) -> DataFrame:
+    """Skip-gram vectors of the frequent words of ``sentences``: ``word, vector array<double>``.
+
+    The model's size is bounded by the vocabulary of words of at least FREQUENT + 1.
+    """
+    model = Word2Vec(vectorSize=VECTOR_SIZE, windowSize=WINDOW, minCount=FREQUENT + 1, maxIter=1, numPartitions=partitions, stepSize=0.05, seed=7, inputCol="words", outputCol="v", maxSentenceLength=1000).fit(pages.select("words"))
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
@@ -284,11 +285,14 @@ def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
     """
     links = cut(link_words(counts))
     hits = cut(words.where(F.col("word").isNotNull()).join(links, "word"))
+    pages = cut(sentences(words))
     if counts.where(F.col("n") > FREQUENT).isEmpty():  # no word is frequent enough to have a vector
         vectors = words.sparkSession.createDataFrame([], "word string, vector array<double>")
     else:
-        vectors = cut(learn_vectors(words, max(2, words.sparkSession.sparkContext.defaultParallelism)))
-    near = hits.select("media_id", "at", F.explode(F.array_distinct("near")).alias("word")).distinct().join(vectors, "word")
+        vectors = cut(learn_vectors(pages, max(2, words.sparkSession.sparkContext.defaultParallelism)))
+    at = F.col("at")
+    before, after = F.slice("words", F.greatest(at - WINDOW, F.lit(0)) + 1, F.least(at, F.lit(WINDOW))), F.slice("words", at + 2, F.lit(WINDOW))
+    near = hits.where(at >= 0).select("media_id", "at").distinct().join(pages, "media_id").select("media_id", "at", F.explode(F.array_distinct(F.concat(before, after))).alias("word")).join(vectors, "word")
     mean = near.groupBy("media_id", "at").agg(*[F.avg(F.element_at("vector", i + 1)).alias(f"v{i}") for i in range(VECTOR_SIZE)])
     mean = mean.select("media_id", "at", F.array(*[f"v{i}" for i in range(VECTOR_SIZE)]).alias("context"))
     target = vectors.select(F.col("word").alias("meant"), "vector")
