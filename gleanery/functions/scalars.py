@@ -286,12 +286,12 @@ def canonical_json(c: Column) -> Column:
     return F.to_json(F.try_parse_json(c))
 
 
-def text_fields(v: Column) -> Column:
-    """An object's scalar fields as one cleaned map of texts: trimmed, integral numbers without decimals, no empties.
+def text_fields(shown: Column) -> Column:
+    """From an object's JSON text, its scalar fields as one cleaned map of texts: trimmed, integral numbers without decimals, no empties.
 
     Objects and lists are left out. One pass over the object, however many aliases are read from it afterwards.
     """
-    raw = F.from_json(F.to_json(v), "map<string,string>")
+    raw = F.from_json(shown, "map<string,string>")
 
     def clean(_, x: Column) -> Column:
         return F.when(x.rlike(r"^\s*[\[{]"), F.lit("")).otherwise(F.regexp_replace(ws_trim(x), r"^(-?\d+)\.0+$", "$1"))
@@ -304,9 +304,11 @@ def first_field(fields: Column, *names: str) -> Column:
     return F.coalesce(*[fields[n] for n in names], F.lit(""))
 
 
-def list_field(v: Column, name: str) -> Column:
-    """A list field as texts: scalars as they are, of objects the first naming field; a scalar as a list of one."""
-    shown = F.get_json_object(F.to_json(v), f"$.{name}")
+def list_field(shown: Column) -> Column:
+    """A list field from its JSON text: scalars as they are, of objects the first naming field; a scalar as a list of one.
+
+    The text is mentioned several times: give a column that an earlier projection has made.
+    """
     naming = [f"$.{n}" for n in ("name", "text", "label", "url", "expanded_url", "id")]
 
     def item(x: Column) -> Column:
@@ -314,4 +316,4 @@ def list_field(v: Column, name: str) -> Column:
 
     many = F.transform(F.from_json(shown, "array<string>"), item)
     one = F.when(~shown.rlike(r"^[\[{]") & (text(shown) != ""), F.array(text(shown)))
-    return clean_list(F.coalesce(F.when(shown.startswith("["), many), one))
+    return clean_list(F.when(shown.startswith("["), many).otherwise(one))

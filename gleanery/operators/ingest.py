@@ -1,7 +1,7 @@
 """Ingest: parse, validate, route and project capture events; failures become error envelopes.
 
 Batch and streaming share these functions. A record is parsed once to VARIANT; the six projections fan out with
-``posexplode`` so each keeps its array index, and are united by name.
+``posexplode`` of the objects' JSON texts so each keeps its array index, and are united by name.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ ARRAYS = {
     "user_input": (("user_inputs", "user_notes", "notes", "research_notes", "manual_inputs"), True),
 }
 TOPICS = {"x_post": "posts", "x_account": "accounts", "media": "media", "search_result": "search_results", "web_page": "web_documents", "user_input": "user_inputs"}
+LISTS = ("topics", "entities", "links", "urls", "website_urls")
 COUNTED = ("posts", "accounts", "media", "search_results", "web_documents", "user_inputs")
 
 
-def _objects(v: Column, name: str) -> Column:
-    items = F.try_variant_get(v, f"$.{name}", "array<variant>")
-    return F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+def _objects(doc: Column, name: str) -> Column:
+    """The objects of an array field as JSON texts; null where the field is no array."""
+    return F.filter(F.try_variant_get(doc, f"$.{name}", "array<string>"), lambda x: x.startswith("{"))
 
 
 def _first_list(doc: Column, names: tuple[str, ...], in_context: bool) -> Column:
@@ -42,17 +43,16 @@ def _first_list(doc: Column, names: tuple[str, ...], in_context: bool) -> Column
 
 def parse(records: DataFrame, raw: str = "raw_value") -> DataFrame:
     """The records with ``doc`` (VARIANT, null for damaged JSON) and the envelope's fields."""
-    doc = F.try_parse_json(F.col(raw))
-    out = records.withColumn("doc", F.when(F.schema_of_variant(doc).startswith("OBJECT"), doc))
+    out = records.withColumn("doc", F.when(F.col(raw).rlike(r"^\s*\{"), F.try_parse_json(F.col(raw))))
     d = F.col("doc")
     index = F.col("fields")["event_index"]
-    out = out.withColumn("fields", S.text_fields(d))
+    out = out.withColumn("fields", F.when(d.isNotNull(), S.text_fields(F.col(raw))))
     return out.select(
         "*",
         F.coalesce(F.col("fields")["schema_version"], F.lit("v1")).alias("schema_version"),
         *[S.first_field(F.col("fields"), n).alias(n) for n in ("collector_run_id", "source_project", "capture_method", "captured_at", "page_url", "page_title")],
         F.try_to_number(index, F.lit("S999999999")).cast("long").alias("event_index"),
-        S.text_fields(F.try_variant_get(d, "$.context", "variant")).alias("context"),
+        S.text_fields(F.get_json_object(F.col(raw), "$.context")).alias("context"),
     )
 
 
@@ -92,8 +92,10 @@ def _ctx(*names: str) -> Column:
 
 
 def _items(parsed: DataFrame, kind: str) -> DataFrame:
+    """The array's objects, one row each: index, JSON text, scalar fields, and the JSON texts of the list fields."""
     names, ctx = ARRAYS[kind]
-    return parsed.where(F.col("doc").isNotNull()).select("*", F.posexplode(_first_list(F.col("doc"), names, ctx)).alias("idx", "item")).withColumn("f", S.text_fields(F.col("item")))
+    items = parsed.where(F.col("doc").isNotNull()).select("*", F.posexplode(_first_list(F.col("doc"), names, ctx)).alias("idx", "j"))
+    return items.withColumns({"f": S.text_fields(F.col("j")), **{f"__{n}": F.get_json_object("j", f"$.{n}") for n in LISTS}})
 
 
 def _envelope(kind: str, key: Column, evidence: Column, observation: Column, captured: Column, **fields: Column) -> list[Column]:
@@ -113,13 +115,13 @@ def _envelope(kind: str, key: Column, evidence: Column, observation: Column, cap
     return [c.alias(n) for n, c in {**base, **fields}.items()]
 
 
-def _lists(i: Column) -> dict[str, Column]:
-    return {"topics": S.list_field(i, "topics"), "entities": S.list_field(i, "entities"), "links": links_of(i)}
+def _lists() -> dict[str, Column]:
+    return {"topics": S.list_field(F.col("__topics")), "entities": S.list_field(F.col("__entities")), "links": _links()}
 
 
-def links_of(i: Column) -> Column:
+def _links() -> Column:
     """Links of an object: its list fields, then its own addresses that are absolute."""
-    lists = [S.list_field(i, n) for n in ("links", "urls", "website_urls")]
+    lists = [S.list_field(F.col(f"__{n}")) for n in ("links", "urls", "website_urls")]
     own = S.http_only(F.array(*[_t(n) for n in ("url", "href", "link", "website_url")]))
     return S.clean_list(F.concat(*lists, own))
 
@@ -133,7 +135,6 @@ def _or_hash(ident: Column, n: int, *parts: Column) -> Column:
 
 
 def project_posts(parsed: DataFrame) -> DataFrame:
-    i = F.col("item")
     url = _t("canonical_url", "url", "href")
     given = _t("post_id", "id", "tweet_id", "status_id")
     author = S.handle(S.first_text(_t("author_handle", "handle", "screen_name", "username"), F.when(given == "", S.status_handle(url))))
@@ -144,41 +145,37 @@ def project_posts(parsed: DataFrame) -> DataFrame:
     key = _or_hash(ident, 16, *run, F.lit("post"), F.col("idx"), link, text)
     step = _items(parsed, "x_post").withColumns({"__key": key, "__url": link, "__author": author})
     k = F.col("__key")
-    return step.select(*_envelope("x_post", k, k, _observation("post", k), F.col("captured_at"), canonical_url=F.col("__url"), author_handle=F.col("__author"), domain=S.host(F.col("__url")), title=F.lit(""), text=text, posted_at=_t("posted_at", "created_at", "time", "timestamp"), **_lists(i)))
+    return step.select(*_envelope("x_post", k, k, _observation("post", k), F.col("captured_at"), canonical_url=F.col("__url"), author_handle=F.col("__author"), domain=S.host(F.col("__url")), title=F.lit(""), text=text, posted_at=_t("posted_at", "created_at", "time", "timestamp"), **_lists()))
 
 
 def project_accounts(parsed: DataFrame) -> DataFrame:
-    i = F.col("item")
     ident = S.handle(_t("handle", "author_handle", "screen_name", "username"))
-    key = _or_hash(ident, 16, F.col("collector_run_id"), F.col("event_index"), F.lit("account"), F.col("idx"), F.to_json(i))
+    key = _or_hash(ident, 16, F.col("collector_run_id"), F.col("event_index"), F.lit("account"), F.col("idx"), F.col("j"))
     step = _items(parsed, "x_account").withColumn("__key", key)
     k, url = F.col("__key"), _t("profile_url", "url")
-    return step.select(*_envelope("x_account", k, k, _observation("account", k), F.col("captured_at"), canonical_url=url, author_handle=k, domain=S.host(url), title=_t("display_name", "name", "author_name"), text=_t("bio", "description", "text"), posted_at=F.lit(""), **_lists(i)))
+    return step.select(*_envelope("x_account", k, k, _observation("account", k), F.col("captured_at"), canonical_url=url, author_handle=k, domain=S.host(url), title=_t("display_name", "name", "author_name"), text=_t("bio", "description", "text"), posted_at=F.lit(""), **_lists()))
 
 
 def project_media(parsed: DataFrame) -> DataFrame:
-    i = F.col("item")
     ident = _t("media_id", "id", "sha256", "url", "local_path")
-    key = _or_hash(ident, 32, F.col("collector_run_id"), F.col("event_index"), F.lit("media"), F.col("idx"), F.to_json(i))
+    key = _or_hash(ident, 32, F.col("collector_run_id"), F.col("event_index"), F.lit("media"), F.col("idx"), F.col("j"))
     step = _items(parsed, "media").withColumn("__key", key)
     k, url = F.col("__key"), _t("url", "src")
     extra = {"media_kind": _t("media_kind", "type", "kind"), "local_path": _t("local_path", "path"), "sha256": _t("sha256"), "ocr_text": _t("ocr_text"), "caption": _t("caption", "alt_text", "description")}
-    return step.select(*_envelope("media", k, k, _observation("media", k), F.col("captured_at"), canonical_url=url, author_handle=F.lit(""), domain=S.host(url), title=extra["caption"], text=extra["ocr_text"], posted_at=F.lit(""), **_lists(i), **extra))
+    return step.select(*_envelope("media", k, k, _observation("media", k), F.col("captured_at"), canonical_url=url, author_handle=F.lit(""), domain=S.host(url), title=extra["caption"], text=extra["ocr_text"], posted_at=F.lit(""), **_lists(), **extra))
 
 
 def project_search_results(parsed: DataFrame) -> DataFrame:
-    i = F.col("item")
     url = _t("url", "href", "link")
     query = S.first_text(_t("query"), _ctx("query"))
     engine = F.coalesce(F.nullif(S.first_text(_t("engine", "source"), _ctx("engine")), F.lit("")), F.lit("google"))
-    rank = F.coalesce(*[F.try_variant_get(i, f"$.{n}", "double").cast("long") for n in ("rank", "position", "index")], F.col("idx").cast("long") + 1)
+    rank = F.coalesce(*[F.col("f")[n].try_cast("double").cast("long") for n in ("rank", "position", "index")], F.col("idx").cast("long") + 1)
     step = _items(parsed, "search_result").withColumn("__key", S.stable_hash(query, url, F.col("idx")))
     k = F.col("__key")
-    return step.select(*_envelope("search_result", k, k, k, F.col("captured_at"), canonical_url=url, author_handle=F.lit(""), domain=S.host(url), title=_t("title"), text=_t("snippet", "description", "text"), posted_at=F.lit(""), query=query, engine=engine, rank=rank, **_lists(i)))
+    return step.select(*_envelope("search_result", k, k, k, F.col("captured_at"), canonical_url=url, author_handle=F.lit(""), domain=S.host(url), title=_t("title"), text=_t("snippet", "description", "text"), posted_at=F.lit(""), query=query, engine=engine, rank=rank, **_lists()))
 
 
 def project_web_documents(parsed: DataFrame) -> DataFrame:
-    i = F.col("item")
     url = _t("canonical_url", "url", "source_url", "page_url", "href", "link")
     title = _t("title", "page_title", "headline")
     body = _t("text", "content", "body", "markdown", "summary")
@@ -187,18 +184,17 @@ def project_web_documents(parsed: DataFrame) -> DataFrame:
     k = F.col("__key")
     evidence = F.concat(F.lit("web_document/"), k)
     captured = S.first_text(_t("captured_at", "retrieved_at", "extracted_at"), F.col("captured_at"))
-    return step.select(*_envelope("web_page", evidence, evidence, _observation("web_document", k), captured, canonical_url=url, author_handle=F.lit(""), domain=S.first_text(_t("domain", "host"), S.host(url)), title=title, text=S.first_text(body, _t("extracted_text")), posted_at=_t("published_at", "posted_at", "created_at", "date"), document_kind=_t("document_kind", "kind", "content_form"), **_lists(i)))
+    return step.select(*_envelope("web_page", evidence, evidence, _observation("web_document", k), captured, canonical_url=url, author_handle=F.lit(""), domain=S.first_text(_t("domain", "host"), S.host(url)), title=title, text=S.first_text(body, _t("extracted_text")), posted_at=_t("published_at", "posted_at", "created_at", "date"), document_kind=_t("document_kind", "kind", "content_form"), **_lists()))
 
 
 def project_user_inputs(parsed: DataFrame) -> DataFrame:
-    i = F.col("item")
     text = _t("text", "content", "note", "body", "markdown", "summary")
     key = _or_hash(_t("input_id", "note_id", "id"), 24, F.col("collector_run_id"), F.col("event_index"), F.lit("user_input"), text, F.col("idx"))
     step = _items(parsed, "user_input").withColumn("__key", key)
     k = F.col("__key")
     evidence = F.concat(F.lit("user_input/"), k)
     captured = S.first_text(_t("captured_at", "created_at", "observed_at"), F.col("captured_at"))
-    return step.select(*_envelope("user_input", evidence, evidence, _observation("user_input", k), captured, canonical_url=F.lit(""), author_handle=_t("author", "user", "created_by"), domain=F.lit(""), title=_t("title", "subject", "heading"), text=text, posted_at=F.lit(""), input_kind=_t("input_kind", "kind", "type"), **_lists(i)))
+    return step.select(*_envelope("user_input", evidence, evidence, _observation("user_input", k), captured, canonical_url=F.lit(""), author_handle=_t("author", "user", "created_by"), domain=F.lit(""), title=_t("title", "subject", "heading"), text=text, posted_at=F.lit(""), input_kind=_t("input_kind", "kind", "type"), **_lists()))
 
 
 PROJECTIONS = {"x_post": project_posts, "x_account": project_accounts, "media": project_media, "search_result": project_search_results, "web_page": project_web_documents, "user_input": project_user_inputs}
