@@ -44,7 +44,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
-    found = repeated_lines.frequent_sequences(_pages(spark, d))
+    found = repeated_lines.prefixspan(_pages(spark, d))
     return found.select("length", F.col("source").alias("domain"), F.array_join("sequence", "\n").alias("line_texts"), "support", "documents")
 
 

@@ -1,16 +1,18 @@
 """Lines that one site repeats over its documents: PrefixSpan over line-identifier sequences per source.
 
 Level one counts single lines per source in distinct documents. A document's sequence is then its frequent lines in
-order, and each further level grows frequent prefixes by the line that follows, counting distinct documents again;
-a pattern whose prefix is not frequent is never counted. Levels are defined lazily, so a query of single lines runs
-level one alone. Lines travel as 64-bit identifiers, spread by (source, line, document): a source that holds a third
+order. ``prefixspan`` grows frequent prefixes over the projected suffixes, other lines allowed in between, until
+nothing grows; ``frequent_sequences`` grows contiguous runs by levels up to a length. A pattern whose prefix is not
+frequent is never counted. Both are defined lazily, so a query of single lines runs level one alone. Lines travel as 64-bit identifiers, spread by (source, line, document): a source that holds a third
 of all rows is no hot key, and only frequent lines' texts are looked up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +70,7 @@ def frequent_sequences(
     length, so every line of a longer frequent run is frequent itself.
     """
     totals = _totals(pages, source, document)
-    counted = line_rows(pages, text, source, document).groupBy("source", "line").agg(F.countDistinct("document").alias("support"))
-    # the absolute bound needs no totals: it discards the mass of unique lines before the join
-    items = counted.where(F.col("support") >= least).join(totals, "source").where(_enough(F.col("support"), F.col("documents"), least, percent))
-    items = cut(items)  # counted once, and small: at most (100 / percent) times the mean lines of a document per source
+    items = _items(pages, text, source, document, least, percent)
     spelled = _spell(pages, items, text, source)
     levels = [spelled.select(F.lit(1).alias("length"), "source", F.array("spelling").alias("sequence"), "support", "documents")]
     if max_length > 1:
@@ -90,6 +89,123 @@ def frequent_sequences(
     return reduce(DataFrame.unionByName, levels)
 
 
+GROWN = "source string, documents long, pattern array<long>, support long"
+_GROWN = pa.schema([("source", pa.string()), ("documents", pa.int64()), ("pattern", pa.list_(pa.int64())), ("support", pa.int64())])
+_FLUSH = 20_000
+
+
+def prefixspan(pages: DataFrame, text: str = "text", source: str = "domain", document: str = "evidence_id", least: int = 5, percent: int = 20) -> DataFrame:
+    """``length, source, sequence array<string>, support, documents``: all frequent sequences of lines per source.
+
+    A sequence is frequent if its lines stand in this order, anything allowed in between, in one text of at least
+    ``least`` distinct documents and ``percent`` % of all distinct documents of its source. No bound on the length.
+    Rows count as in ``frequent_sequences``. Documents of equal sequences travel as one with a weight, and each
+    (source, first line) is grown apart from the others, so a source is spread over its lines.
+    """
+    items = _items(pages, text, source, document, least, percent)
+    spelled = _spell(pages, items, text, source)
+    single = spelled.select(F.lit(1).alias("length"), "source", F.array("spelling").alias("sequence"), "support", "documents")
+    texts = _sequences(pages, items, text, source, document).where(F.size("lines") > 1)
+    of = texts.groupBy("source", "document").agg(F.array_sort(F.collect_set("lines")).alias("texts"))
+    of = of.groupBy("source", "texts").agg(F.count(F.lit(1)).alias("weight")).join(_totals(pages, source, document), "source")
+    begun = of.select("source", "documents", "weight", "texts", F.explode(F.array_distinct(F.flatten("texts"))).alias("first"))
+    after = F.transform("texts", lambda x: F.when(F.array_contains(x, F.col("first")), F.slice(x, F.array_position(x, F.col("first")) + 1, F.size(x))))
+    begun = begun.select("source", "documents", "first", "weight", F.filter(after, lambda x: F.size(x) > 0).alias("texts")).where(F.size("texts") > 0)
+    grown = begun.groupBy("source", "documents", "first").applyInArrow(_grower(least, percent), GROWN)
+    names = spelled.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("line", "spelling"))).alias("names"))
+    named = grown.join(F.broadcast(names) if items.count() <= BROADCAST_LINES else names, "source")
+    spelling = F.transform("pattern", lambda x: F.col("names")[x]).alias("sequence")
+    return single.unionByName(named.select(F.size("pattern").alias("length"), "source", spelling, "support", "documents"))
+
+
+def grow(entries: list[tuple[list[list[int]], int]], enough: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """All sequences in at least ``enough`` documents, with their support; a document is (its texts, weight).
+
+    Each line is a bitmap of its positions, a block of bits a text with one bit above it. The k-th texts of all
+    documents are layer k, at equal offsets, so that a document of several texts counts once. Taking the lowest bit
+    of each block leaves, by the borrow, the positions behind the first occurrence of a pattern and, in the bits
+    above, the texts that hold it; bit planes of the weights turn these into the support.
+    """
+    entries = sorted(entries, key=lambda x: -len(x[0]))
+    n = max((len(x[0]) for x in entries), default=0)
+    bits: list[dict[int, list[int]]] = [{} for _ in range(n)]
+    low: list[list[int]] = [[] for _ in range(n)]
+    high: list[list[int]] = [[] for _ in range(n)]
+    planes: dict[int, list[int]] = {}
+    at = 0
+    for texts, weight in entries:
+        top = at + max(map(len, texts))
+        for k, lines in enumerate(texts):
+            low[k].append(at)
+            high[k].append(top)
+            for i, x in enumerate(lines):
+                bits[k].setdefault(x, []).append(at + i)
+        for b in range(weight.bit_length()):
+            if weight >> b & 1:
+                planes.setdefault(b, []).append(top)
+        at = top + 1
+
+    def mask(ones: list[int]) -> int:
+        out = bytearray(at // 8 + 1)
+        for i in ones:
+            out[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(out, "little")
+
+    lows, highs = [mask(x) for x in low], [mask(x) for x in high]
+    inner = [(h - o) for h, o in zip(highs, lows)]  # all bits of the blocks but those above them
+    weights = [(b, mask(x)) for b, x in planes.items()]
+    lines = {x: [mask(of.get(x, ())) for of in bits] for x in {x for of in bits for x in of}}
+    # a pattern: lines, positions behind it (None: all) by layer, lines that may follow
+    stack: list[tuple[tuple[int, ...], list[int] | None, list[int]]] = [((), None, sorted(lines))]
+    while stack:
+        pattern, behind, candidates = stack.pop()
+        children = []
+        for x in candidates:
+            found, rest = 0, []
+            for k, positions in enumerate(lines[x]):
+                b = (positions if behind is None else positions & behind[k]) | highs[k]
+                t = b - lows[k]
+                found |= t & highs[k]
+                rest.append(inner[k] & ~(t ^ b))
+            support = sum((found & m).bit_count() << b for b, m in weights)
+            if support >= enough:
+                children.append((x, rest))
+                yield (*pattern, x), support
+        follow = [x for x, _ in children]  # what does not follow the prefix often does not follow a longer one
+        stack.extend(((*pattern, x), rest, follow) for x, rest in children)
+
+
+def _grower(least: int, percent: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, documents, first = (x.as_py() for x in key)
+        enough = max(least, -(-documents * percent // 100))
+        entries = [x for b in batches for x in zip(b.column("texts").to_pylist(), b.column("weight").to_pylist())]
+        patterns, supports = [], []
+
+        def batch() -> pa.RecordBatch:
+            n = len(patterns)
+            return pa.RecordBatch.from_arrays([pa.array([source] * n, pa.string()), pa.array([documents] * n, pa.int64()), pa.array(patterns, pa.list_(pa.int64())), pa.array(supports, pa.int64())], schema=_GROWN)
+
+        if sum(w for _, w in entries) >= enough:
+            for pattern, support in grow(entries, enough):
+                patterns.append((first, *pattern))
+                supports.append(support)
+                if len(patterns) >= _FLUSH:
+                    yield batch()
+                    patterns, supports = [], []
+        yield batch()
+
+    return run
+
+
+def _items(pages: DataFrame, text: str, source: str, document: str, least: int, percent: int) -> DataFrame:
+    """The frequent lines: source, line, support, documents; counted once."""
+    counted = line_rows(pages, text, source, document).groupBy("source", "line").agg(F.countDistinct("document").alias("support"))
+    # the absolute bound needs no totals: it discards the mass of unique lines before the join
+    items = counted.where(F.col("support") >= least).join(_totals(pages, source, document), "source").where(_enough(F.col("support"), F.col("documents"), least, percent))
+    return cut(items)  # small: at most (100 / percent) times the mean lines of a document per source
+
+
 def _with_known(rows: DataFrame, items: DataFrame) -> DataFrame:
     """Rows with the set of their source's frequent lines, ``known``; broadcast only if the counted lines are few."""
     known = items.groupBy("source").agg(F.collect_set("line").alias("known"))

@@ -82,3 +82,32 @@ def test_sequences_equal_brute_force(spark):
     by = {(r.domain, r.evidence_id): r for r in clean.collect()}
     assert by["a.test", "d2"].clean_text.strip() == "unique text ck" and by["b.test", "x"].clean_text == "Home\nHelp" and by[None, "y"].clean_text == "Home" and by["a.test", "n"].clean_text is None
     assert R.frequent_sequences(df.where("false")).count() == 0
+
+
+def brute_gapped(rows, least, percent):
+    """Frequent sequences with anything in between by counting all subsequences of short texts."""
+    docs, seen = {}, {}
+    for domain, doc, text, *_ in rows:
+        if domain is None:
+            continue
+        docs.setdefault(domain, set()).add(doc)
+        lines = [x for x in (text or "").split("\n") if x]
+        for pick in range(1, 1 << len(lines)):
+            seen.setdefault((domain, tuple(x for i, x in enumerate(lines) if pick >> i & 1)), set()).add(doc)
+    return {x: len(s) for x, s in seen.items() if len(s) >= least and len(s) * 100 >= percent * len(docs[x[0]])}
+
+
+def test_prefixspan_equals_all_subsequences_with_gaps_and_long_ones(spark):
+    import random
+
+    dice = random.Random(5)
+    rows = [("a.test", f"d{i}", "\n".join(x for x in "abcdefgh" if dice.random() < 0.8), "s", None) for i in range(20)]
+    rows += [("b.test", f"d{i % 9}", "\n".join(dice.choices("xyz", k=6)), None, None) for i in range(25)]
+    rows += [("c.test", f"d{i}", "home\nhelp" if i < 5 else "help\nhome", None, None) for i in range(26)]
+    rows += [(None, "y", "a\nb", None, None), ("a.test", "n", None, None, None), ("a.test", "d1", "h\ng\nh", None, None)]
+    df = spark.createDataFrame(rows, PAGES)
+    got = R.prefixspan(df, least=5, percent=20).collect()
+    want = brute_gapped(rows, 5, 20)
+    assert {(r.source, tuple(r.sequence)): r.support for r in got} == want and len(got) == len(want)
+    assert max(r.length for r in got) > 4 and all(r.length == len(r.sequence) for r in got)
+    assert ("a.test", ("a", "c", "h")) in want and R.prefixspan(df.where("false")).count() == 0
