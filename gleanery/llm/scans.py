@@ -33,8 +33,8 @@ GLYPHS = (
 STRONG = frozenset("01@58")
 #: A word is frequent from this count on; a link needs this ratio of counts, a lower one with a fitting context.
 FREQUENT, RATIO, RATIO_IN_CONTEXT, FIT = 4, 24.0, 8.0, 0.2
-#: The lower ratio is for words this rare; above SURE a link holds whatever its context.
-FEW, SURE = 3, 200.0
+#: Above this ratio a link holds whatever its context.
+SURE = 200.0
 VECTOR_SIZE, WINDOW = 24, 3
 #: A longer line is no header.
 LONGEST_HEADER = 90
@@ -125,8 +125,6 @@ def glyph_candidates(word: str) -> list[str]:
     out = set()
     for n in (1, 2):
         for chosen in combinations(spots, n):
-            if n == 2 and len(word) > 24:
-                break
             w, ok, end = word, True, len(word) + 1
             for i, read, meant in sorted(chosen, reverse=True):
                 if i + len(read) > end:
@@ -242,13 +240,16 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def link_words(counts: DataFrame) -> DataFrame:
     """``word, meant, strong, ratio, n``: words and the far more frequent ones that glyph edits turn them into.
 
-    ``counts`` has word and n. Only words of three characters on, and two-letter ones with a sign or digit, are
-    candidates. Equi-joins by the edited spelling; words without letters are left out.
+    ``counts`` has word and n. Words of two characters on are candidates. Equi-joins by the edited
+    spelling; words without letters are left out.
     """
     lettered = counts.where(F.col("word").rlike(r"\p{L}"))
-    odd = lettered.select("word").where((F.length("word") >= 3) | F.col("word").rlike(r"[0-9@]"))
-    made = odd.mapInPandas(_candidates, "word string, meant string, strong boolean")
+    odd = lettered.select("word").where(F.length("word") >= 2)
     frequent = lettered.where((F.col("n") >= FREQUENT) & ~F.col("word").rlike("[0-9@]")).select(F.col("word").alias("meant"), F.col("n").alias("m"))
+    # two edits lengthen or shorten a word by two at most: no longer word can become a frequent one
+    longest = F.broadcast(frequent.agg(F.max(F.length("meant")).alias("longest")))
+    odd = odd.crossJoin(longest).where(F.length("word") <= F.col("longest") + 2).select("word")
+    made = odd.mapInPandas(_candidates, "word string, meant string, strong boolean")
     linked = made.join(frequent, "meant").join(counts, "word")
     ratio = F.col("m") / F.col("n")
     return linked.where((ratio >= RATIO_IN_CONTEXT) | F.col("strong")).select("word", "meant", "strong", ratio.alias("ratio"), "n")
@@ -299,10 +300,10 @@ def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
     scored = hits.join(mean, ["media_id", "at"], "left").join(target, "meant", "left")
     fit = F.when(F.col("context").isNull() | F.col("vector").isNull(), F.lit(0.0)).otherwise(_cosine(F.col("context"), F.col("vector")))
     scored = scored.withColumn("fit", fit)
-    # the oftener a spelling occurs, the likelier it is a word of its own
-    asked = (F.lit(RATIO) + F.least(F.lit(RATIO / 2), F.col("n") / 4)) * F.coalesce(F.greatest(F.lit(0.8), F.least(F.lit(1.0), F.col("confidence"))), F.lit(1.0))
+    # ratio, fit and confidence alone: none of them changes when the input grows
+    asked = F.lit(RATIO) * F.coalesce(F.greatest(F.lit(0.8), F.least(F.lit(1.0), F.col("confidence"))), F.lit(1.0))
     held = (F.col("ratio") >= asked) & ((F.col("fit") >= 0) | (F.col("ratio") >= SURE))
-    good = scored.where(F.col("strong") | held | ((F.col("ratio") >= RATIO_IN_CONTEXT) & (F.col("fit") >= FIT) & (F.col("n") <= FEW)))
+    good = scored.where(F.col("strong") | held | ((F.col("ratio") >= RATIO_IN_CONTEXT) & (F.col("fit") >= FIT)))
     best = good.groupBy("media_id", "at", "half").agg(F.max_by(F.struct("line_no", "word", "meant", "broken", "head", "tail", "tail_media", "tail_no", "fit", "ratio"), F.struct(F.col("fit") + F.log10("ratio"), F.col("meant"))).alias("b"))
     return best.select("media_id", "at", "half", "b.*")
 

@@ -111,3 +111,13 @@ def test_scans_table(spark):
     text = " ".join(r.text for r in S.paragraphs(media, ocr).orderBy("scan", "paragraph_no").collect())
     assert "f0und" not in text and "plan-" not in text and "Page" not in text and text.count("planner") == 40
     assert S.noise_lines(media.where("false"), ocr).count() == 0
+
+
+def test_corrections_hold_when_all_counts_grow(spark):
+    row = lambda at, word: ("m", 0, at, word, False, None, None, None, None, 1.0, False, False, None)
+    words = spark.createDataFrame([row(i, "wbere" if i == 15 else "where") for i in range(30)], S._WORDS)
+    for times in (1, 10, 100):
+        counts = spark.createDataFrame([("wbere", 4 * times), ("where", 120 * times), ("tbere", 4 * times), ("there", 40 * times)], "word string, n long")
+        assert [(r.word, r.meant) for r in S.corrections(words, counts).collect()] == [("wbere", "where")], times
+    short = spark.createDataFrame([("rc", 2), ("re", 100), ("entscbeidungszusammenbangs", 2), ("entscheidungszusammenhangs", 100)], "word string, n long")
+    assert {("rc", "re"), ("entscbeidungszusammenbangs", "entscheidungszusammenhangs")} <= {(r.word, r.meant) for r in S.link_words(short).collect()}
