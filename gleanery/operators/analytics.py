@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import scalars as S
+from gleanery.session import cut
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -92,3 +93,19 @@ def parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     both = a.join(b, F.col("__l") == F.col("__r"), "full_outer")
     state = F.when(F.col("__r").isNull(), "missing").when(F.col("__l").isNull(), "extra").when(F.col("__h_l") != F.col("__h_r"), "differs")
     return both.select(F.coalesce("__l", "__r").alias(key), state.alias("state")).where(F.col("state").isNotNull())
+
+
+def first_ranks(evidence: DataFrame, runs: DataFrame) -> DataFrame:
+    """``run_id, best_rank``: the first rank of a run's ids among all evidence ids by count, then id; null without hit.
+
+    Ids are spread by range and materialised; a rank is the place within its range after the sizes of those before.
+    """
+    counts = evidence.where(F.col("evidence_id").isNotNull()).groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n"))
+    spread = cut(counts.select((-F.col("n")).alias("m"), "evidence_id").repartitionByRange("m", "evidence_id").withColumn("part", F.spark_partition_id()))
+    sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("ids"))
+    before = sizes.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
+    placed = spread.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("m", "evidence_id")))
+    ranks = placed.join(F.broadcast(before), "part").select("evidence_id", (F.col("before") + F.col("place")).alias("rank"))
+    ids = runs.select("run_id", F.explode("evidence_ids").alias("evidence_id"))
+    best = ids.join(ranks, "evidence_id").groupBy("run_id").agg(F.min("rank").alias("best_rank"))
+    return runs.select("run_id").distinct().join(best, "run_id", "left")

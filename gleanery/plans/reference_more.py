@@ -107,6 +107,12 @@ def canary_rank(spark, d):
     return ids.join(r, "evidence_id").groupBy("run_id").agg(F.min("rank").cast("long").alias("best_rank"))
 
 
+@query()
+def canary_rank_all(spark, d):
+    """Ranks without the bound of ``canary_rank`` and its SQL; runs without a hit have null."""
+    return A.first_ranks(ev(spark, d), table(spark, d, "ops_canary_runs"))
+
+
 @query("""SELECT evidence_id, count(DISTINCT event_id) AS events, count(*) FILTER (via = 'link') AS by_link FROM (SELECT evidence_id, event_id, 'own' AS via FROM evidence_events UNION ALL SELECT l.evidence_id, e.event_id, 'link' FROM evidence_latest l JOIN (SELECT DISTINCT event_id, unnest(links) AS link FROM evidence_events) e ON e.link = l.canonical_url) GROUP BY 1""")
 def event_subject(spark, d):
     e = ev(spark, d)

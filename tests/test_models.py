@@ -129,3 +129,16 @@ def test_tasks(spark):
     media = spark.createDataFrame([("a", "s1", "image", dt.datetime(2025, 1, 1), "o1"), ("a", "s2", "image", dt.datetime(2025, 1, 2), "o2"), ("b", "s3", "image", dt.datetime(2025, 1, 3), "o3")], "media_id string, sha256 string, media_kind string, captured_at timestamp_ntz, observation_id string")
     done = spark.createDataFrame([("s3", "ok"), ("s2", "failed")], "source_sha256 string, status string")
     assert {(r.media_id, r.sha256, r.lane) for r in tasks.route_media(media, done).collect()} == {("a", "s2", x) for x in ("ocr", "vl", "embed")}
+
+
+def test_first_ranks_have_no_bound_and_keep_runs_without_hits(spark):
+    rows = [(f"e{i:04d}",) for i in range(1500) for _ in range(1 + (i % 7 == 0) + (i % 100 == 0))]
+    evidence = spark.createDataFrame(rows, "evidence_id string")
+    runs = [("r1", ["e1499", "e1493"]), ("r2", ["e0700"]), ("r3", ["nowhere"]), ("r4", None), ("r5", ["e0007", "e1493", "e1491"]), ("r6", ["e1498"])]
+    count = {}
+    for (e,) in rows:
+        count[e] = count.get(e, 0) + 1
+    rank = {e: i for i, e in enumerate(sorted(count, key=lambda e: (-count[e], e)), 1)}
+    want = {r: min((rank[e] for e in ids or [] if e in rank), default=None) for r, ids in runs}
+    got = A.first_ranks(evidence, spark.createDataFrame(runs, "run_id string, evidence_ids array<string>")).collect()
+    assert {r.run_id: r.best_rank for r in got} == want and len(got) == len(want) and want["r1"] > 1000
