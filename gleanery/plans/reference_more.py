@@ -86,6 +86,13 @@ def embedding_tasks(spark, d):
     return t.select("evidence_id", "vector_name", F.char_length("text").cast("long").alias("n"))
 
 
+@query()
+def embedding_tasks_all(spark, d):
+    """The tasks of all rows; ``embedding_tasks`` and its SQL leave media out."""
+    t = tasks.embedding_tasks(ev(spark, d))
+    return t.select("evidence_id", "vector_name", F.char_length("text").cast("long").alias("n"))
+
+
 @query("""WITH m AS (SELECT media_id, arg_max(sha256, (captured_at, observation_id)) AS sha256, max(captured_at) AS captured_at FROM media_observed GROUP BY 1), o AS (SELECT * FROM m WHERE coalesce(sha256 NOT IN (SELECT source_sha256 FROM media_ocr_results WHERE status = 'ok' AND source_sha256 IS NOT NULL), true) ORDER BY captured_at DESC, media_id LIMIT 100)
           SELECT media_id, sha256, unnest(['ocr', 'vl', 'embed']) AS lane FROM o""")
 def media_router(spark, d):

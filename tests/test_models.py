@@ -142,3 +142,11 @@ def test_first_ranks_have_no_bound_and_keep_runs_without_hits(spark):
     want = {r: min((rank[e] for e in ids or [] if e in rank), default=None) for r, ids in runs}
     got = A.first_ranks(evidence, spark.createDataFrame(runs, "run_id string, evidence_ids array<string>")).collect()
     assert {r.run_id: r.best_rank for r in got} == want and len(got) == len(want) and want["r1"] > 1000
+
+
+def test_embedding_tasks_of_media_are_registered(spark, sf):
+    import __spark_entry__ as entry
+
+    made, without = (entry.queries()[n](spark, sf) for n in ("embedding_tasks_all", "embedding_tasks"))
+    assert "ocr_dense" in {r.vector_name for r in made.select("vector_name").distinct().collect()}
+    assert without.exceptAll(made).count() == 0 and made.count() > without.count()
