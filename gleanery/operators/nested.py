@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 from typing import Any
 
 import pandas as pd
@@ -36,14 +38,78 @@ def _refuse(constant: str) -> Any:
     raise ValueError(f"{constant} is no JSON")
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?", re.ASCII)
+
+
+def parse_deep(text: str) -> Any:
+    """A JSON text of any depth, parsed over an explicit stack; ValueError for what is no JSON."""
+    at = _BLANK.match(text, 0).end()
+    stack: list[tuple[Any, str | None]] = []  # open containers, each with the key that waits for its value
+    node, key = None, None
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "[") and c:
+            made: Any = {} if c == "{" else []
+            if node is not None:
+                stack.append((node, key))
+            node, key, at = made, None, _BLANK.match(text, at + 1).end()
+            closed = text[at : at + 1] == ("}" if c == "{" else "]")
+            value = made
+        else:
+            closed = False
+            if c == '"':
+                value, at = scanstring(text, at + 1, True)
+            elif m := _ATOM.match(text, at):
+                value, at = json.loads(m[0]), m.end()
+            else:
+                raise ValueError(f"no JSON at {at}")
+            made = None
+        while True:
+            if made is not None and not closed:  # a container just begun: its first key or element follows
+                break
+            if made is not None:  # its closing bracket stands at `at`
+                value, at, made = node, at + 1, None
+                node, key = stack.pop() if stack else (None, None)
+            if node is None:
+                if _BLANK.match(text, at).end() != len(text):
+                    raise ValueError("text behind the value")
+                return value
+            if isinstance(node, dict):
+                node[key] = value
+            else:
+                node.append(value)
+            at = _BLANK.match(text, at).end()
+            sign = text[at : at + 1]
+            if sign == ",":
+                at = _BLANK.match(text, at + 1).end()
+                break
+            if sign != ("}" if isinstance(node, dict) else "]") or not sign:
+                raise ValueError(f"no separator at {at}")
+            made, closed = node, True
+        if isinstance(node, dict):
+            if text[at : at + 1] != '"':
+                raise ValueError(f"no key at {at}")
+            key, at = scanstring(text, at + 1, True)
+            at = _BLANK.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError(f"no colon at {at}")
+            at = _BLANK.match(text, at + 1).end()
+
+
 def decode(text: Any) -> Any:
-    """What a JSON text encodes, JSON text inside a JSON string included; None where it encodes nothing."""
+    """What a JSON text encodes, of any depth, JSON text inside a JSON string included; None where it encodes nothing."""
     value = text
     while isinstance(value, str):
-        value = value.lstrip("﻿")
+        value = value.lstrip("\ufeff")
         try:
             value = json.loads(value, parse_constant=_refuse)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                value = parse_deep(value)
+            except ValueError:
+                return None
+        except ValueError:
             return None
     return value
 
@@ -168,15 +234,24 @@ def _flatten(bodies: bool):
     return run
 
 
+_PLACED = ["event_id", "place", "parent_path", "child_path", "ordinal", "depth", "field"]
+
+
+def places(records: DataFrame, raw: str = "raw_value", bodies: bool = False) -> DataFrame:
+    """Every place where an object stands, with ``versions``: the identities found there over all deliveries."""
+    rows = records.select(F.col(f"`{raw}`").alias("raw_value")).where(F.col("raw_value").isNotNull()).mapInPandas(_flatten(bodies), OCCURRENCES)
+    return rows.groupBy(*_PLACED).agg(F.collect_set(F.struct("object_id", "parent_object_id", *(["body"] if bodies else []))).alias("versions"))
+
+
 def occurrences(records: DataFrame, raw: str = "raw_value", bodies: bool = True) -> DataFrame:
     """The bridge: one row per occurrence of an array-element object, with its Merkle identity.
 
     Only the raw column is read. Null, damaged and non-object records and records without an event id give no
-    rows; a record delivered again gives its rows once (equal path and identity), a delivery with another
-    content adds its own. ``bodies=False`` leaves the canonical bodies out of the shuffle.
+    rows; a record delivered again gives its rows once, a delivery with another content adds its own: one
+    aggregation by place keeps the set of identities found there. ``bodies=False`` leaves the canonical bodies out.
     """
-    rows = records.select(F.col(f"`{raw}`").alias("raw_value")).where(F.col("raw_value").isNotNull()).mapInPandas(_flatten(bodies), OCCURRENCES)
-    return rows.dropDuplicates(["event_id", "child_path", "object_id"])
+    out = places(records, raw, bodies).select(*_PLACED, F.inline("versions"))
+    return out if bodies else out.withColumn("body", F.lit(None).cast("string"))
 
 
 def objects(bridge: DataFrame) -> DataFrame:
@@ -184,24 +259,42 @@ def objects(bridge: DataFrame) -> DataFrame:
     return bridge.groupBy("object_id").agg(F.min("body").alias("body"), F.count(F.lit(1)).alias("n_occurrences"))
 
 
-#: Typed columns of the flat tables: column -> JSON paths tried in order.
+#: Typed columns of the flat tables, by the field that holds the objects: column -> JSON paths tried in order.
+_POST = {"post_id": ("$.post_id", "$.id"), "canonical_url": ("$.canonical_url", "$.url"), "author_handle": ("$.author_handle", "$.handle"), "author_name": ("$.author.name", "$.author_name"), "text": ("$.text", "$.full_text", "$.content", "$.body"), "posted_at": ("$.posted_at", "$.created_at"), "links": ("$.links",)}
+_MEDIA = {"media_id": ("$.media_id", "$.id"), "media_kind": ("$.media_kind", "$.type", "$.kind"), "url": ("$.url", "$.src"), "ocr_text": ("$.ocr_text",), "caption": ("$.caption", "$.alt_text"), "width": ("$.size.width", "$.size.w", "$.width"), "height": ("$.size.height", "$.size.h", "$.height")}
 FLAT_FIELDS = {
-    "posts": {"post_id": ("$.post_id",), "canonical_url": ("$.canonical_url",), "author_handle": ("$.author_handle",), "text": ("$.text", "$.full_text", "$.content"), "author_name": ("$.author.name", "$.author_name")},
-    "media": {"media_id": ("$.media_id",), "media_kind": ("$.media_kind",), "url": ("$.url",), "ocr_text": ("$.ocr_text",), "caption": ("$.caption",), "width": ("$.size.width", "$.width"), "height": ("$.size.height", "$.height")},
-    "web_documents": {"document_id": ("$.document_id",), "canonical_url": ("$.canonical_url",), "title": ("$.title",), "document_kind": ("$.document_kind",), "text": ("$.text",)},
-    "search_results": {"rank": ("$.rank",), "url": ("$.url",), "title": ("$.title",), "snippet": ("$.snippet",)},
+    "posts": _POST,
+    "replies": _POST,
+    "media": _MEDIA,
+    "web_documents": {"document_id": ("$.document_id", "$.id"), "canonical_url": ("$.canonical_url", "$.url", "$.source_url", "$.page_url"), "title": ("$.title", "$.page_title", "$.headline"), "document_kind": ("$.document_kind", "$.kind"), "text": ("$.text", "$.content", "$.body"), "meta": ("$.meta",)},
+    "search_results": {"rank": ("$.rank", "$.position"), "url": ("$.url", "$.href", "$.link"), "title": ("$.title",), "snippet": ("$.snippet", "$.description")},
+    "badges": {"kind": ("$.kind",)},
+    "entities": {"name": ("$.name",), "type": ("$.type",)},
+    "blocks": {"bbox": ("$.bbox",)},
+    "lines": {"conf": ("$.conf",), "text": ("$.text",)},
+    "tables": {"table_id": ("$.table_id",), "caption": ("$.caption",)},
+    "rows": {},
+    "cells": {"v": ("$.v",)},
+    "grid": {"c": ("$.c",)},
+    "images": {"src": ("$.src",)},
+    "sitelinks": {"title": ("$.title",), "url": ("$.url",)},
 }
 
 
-def flat_table(bridge: DataFrame, place: str, top_level: bool = True) -> DataFrame:
-    """One related flat table: a row per occurrence with its keys, its parent's keys and typed columns.
+def flat_table(bridge: DataFrame, field: str, top_level: bool = False) -> DataFrame:
+    """The related flat table of one field's objects: a row per occurrence with its keys, its parent's keys, typed columns.
 
-    ``top_level`` takes the elements of the place's own array, else every object nested below it, with the
-    canonical body for fields that have no column.
+    ``top_level`` takes the elements of the place of that name, else the objects that any enclosing object holds under
+    the field, at whatever depth. ``rest`` is a JSON object of all fields that did not go whole into a column (null
+    where there are none), inner objects as references to their identities: no field is lost. A field without typed
+    columns has all its fields in ``rest``.
     """
-    rows = bridge.where(F.col("place") == place)
-    keys = ["event_id", "child_path", "parent_path", "ordinal", "depth", "field", "object_id", "parent_object_id"]
-    if not top_level:
-        return rows.where(F.col("depth") > 0).select(*keys, "body")
-    typed = [F.coalesce(*[F.get_json_object("body", p) for p in paths]).alias(c) for c, paths in FLAT_FIELDS[place].items()]
-    return rows.where(F.col("depth") == 0).select(*keys, *typed)
+    rows = bridge.where((F.col("field") == field) & ((F.col("depth") == 0) == F.lit(top_level)))
+    columns = FLAT_FIELDS.get(field, {})
+    # what a column took whole: the first path that holds something, if it is a field of the object itself
+    taken = [F.coalesce(*[F.when(F.get_json_object("body", p).isNotNull(), F.lit(p[2:] if "." not in p[2:] else "")) for p in paths]) for paths in columns.values()]
+    typed = [F.coalesce(*[F.get_json_object("body", p) for p in paths]).alias(c) for c, paths in columns.items()]
+    own = F.from_json("body", "map<string,variant>")
+    rest = F.map_filter(own, lambda k, v: ~F.array_contains(F.array_compact(F.array(*taken)), k)) if taken else own
+    keys = ["event_id", "place", "child_path", "parent_path", "ordinal", "depth", "object_id", "parent_object_id"]
+    return rows.select(*keys, *typed, F.when(F.cardinality(rest) > 0, F.to_json(rest)).alias("rest"))

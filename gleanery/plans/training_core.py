@@ -9,45 +9,43 @@ from gleanery.operators import messages, nested
 from gleanery.sources import table
 
 
+def _bridge(spark: SparkSession, d: str, bodies: bool = True) -> DataFrame:
+    return nested.occurrences(table(spark, d, "capture_events"), bodies=bodies)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    bridge = nested.occurrences(table(spark, d, "capture_events"), bodies=False)
-    return bridge.select("event_id", "parent_path", "child_path").distinct()
+    """One row per occurrence: deliveries whose object at a place has another identity tell the same occurrence."""
+    return nested.places(table(spark, d, "capture_events")).where(F.size("versions") > 0).select("event_id", "parent_path", "child_path")
 
 
 def p4_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return nested.occurrences(table(spark, d, "capture_events"), bodies=False).drop("body")
+    return _bridge(spark, d, bodies=False).drop("body")
 
 
 def p4_objects(spark: SparkSession, d: str) -> DataFrame:
-    return nested.objects(nested.occurrences(table(spark, d, "capture_events")))
-
-
-def p4_posts(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_table(nested.occurrences(table(spark, d, "capture_events")), "posts")
-
+    return nested.objects(_bridge(spark, d))
 
-def p4_media(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_table(nested.occurrences(table(spark, d, "capture_events")), "media")
 
+def _flat(field: str, top_level: bool = False):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return nested.flat_table(_bridge(spark, d), field, top_level)
 
-def p4_web_documents(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_table(nested.occurrences(table(spark, d, "capture_events")), "web_documents")
+    return run
 
 
-def p4_search_results(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_table(nested.occurrences(table(spark, d, "capture_events")), "search_results")
+#: One flat table for each kind of object, those of the four arrays first.
+P4_TABLES = {f"p4_{k}": _flat(k, True) for k in nested.PLACES} | {f"p4_{'attached_media' if k == 'media' else k}": _flat(k) for k in nested.FLAT_FIELDS if k == "media" or k not in nested.PLACES}
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    kept = messages.keep_one_delivery(table(spark, d, "evidence_events"), deliveries="deliveries")
-    return kept.where(F.col("deliveries") > 1).select("event_id", "evidence_id")
+    return messages.repeated_messages(table(spark, d, "evidence_events"))
 
 
 def p6_messages(spark: SparkSession, d: str) -> DataFrame:
     return messages.keep_one_delivery(table(spark, d, "evidence_events"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_bridge, p4_objects, p4_posts, p4_media, p4_web_documents, p4_search_results, p6_found, p6_messages)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_bridge, p4_objects, p6_found, p6_messages)} | P4_TABLES
 
 ORACLES = {
     "p6_found": """

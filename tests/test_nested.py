@@ -76,6 +76,44 @@ def test_table(spark):
     assert b.count() == len(brute(RECORD))
     objects = nested.objects(b)
     assert objects.count() == b.select("object_id").distinct().count() and objects.agg({"n_occurrences": "sum"}).first()[0] == b.count()
-    posts = nested.flat_table(b, "posts").collect()
-    assert [p.post_id for p in posts] == ["1"] and nested.flat_table(b, "posts", top_level=False).count() == 3
+    posts = nested.flat_table(b, "posts", top_level=True).collect()
+    assert [p.post_id for p in posts] == ["1"] and json.loads(posts[0].rest).keys() == {"replies", "author"}
+    replies = nested.flat_table(b, "replies").collect()
+    assert {(p.child_path, p.parent_path, p.post_id, p.rest) for p in replies} == {("posts/1/replies/0", "posts/1", "2", None), ("posts/1/replies/1", "posts/1", "2", None)}
+    assert len({p.object_id for p in replies}) == 1 and {p.parent_object_id for p in replies} == {posts[0].object_id}
+    assert [p.kind for p in nested.flat_table(b, "badges").collect()] == ["x"]
+    unknown = nested.flat_table(b, "c").collect()
+    assert [json.loads(p.rest) for p in unknown] == [{"d": 1}]
     assert nested.occurrences(df.where("false")).count() == 0
+
+
+def test_records_deeper_than_the_parser_recurses():
+    n = 20_000
+    text = '{"collector_run_id":"r","event_index":1,"posts":' + "[" * n + '{"a":[{"b":"\\u00e9 \\"x"}]}' + "]" * n + "}"
+    rows = nested.flatten_record(nested.decode(text))
+    assert len(rows) == 2 and rows[1][2] == rows[0][3] and rows[1][3].endswith("/a/0")
+    objects = 5_000
+    chain = '{"posts":[' * objects + "{}" + "]}" * objects
+    assert len(nested.flatten_record(nested.decode('{"collector_run_id":"r","event_index":1,"posts":[' + chain + "]}"))) == objects + 1
+    assert nested.decode("[" * 100_000) is None and nested.decode("[" * 100_000 + "}") is None
+
+
+def test_the_iterative_parser_agrees_with_the_usual_one():
+    for text in ("{}", "[]", ' {"a" : [1, -2.5e3, "x\\n", null, true, {"b": []}]} ', '"s"', "0", "01", "[1,]", "{,}", '{"a"}', '{"a":}', "[1 2]", "", "nul", '{"a":1}}', "[NaN]", "-"):
+        try:
+            want = json.loads(text, parse_constant=nested._refuse)
+        except ValueError:
+            want = ValueError
+        try:
+            got = nested.parse_deep(text)
+        except ValueError:
+            got = ValueError
+        assert got == want, text
+
+
+def test_versions_of_one_place(spark):
+    one = {"collector_run_id": "r", "event_index": 1, "posts": [{"a": 1}]}
+    rows = [(json.dumps(one),), (json.dumps(one),), (json.dumps({**one, "posts": [{"a": 2}]}),)]
+    df = spark.createDataFrame(rows, "raw_value string")
+    assert nested.occurrences(df).count() == 2
+    assert [len(r.versions) for r in nested.places(df).collect()] == [2]
