@@ -39,8 +39,7 @@ def p3_main_body(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = repeated_lines.frequent_sequences(_pages(spark, d)).where(F.col("length") == 1)
-    return found.select(F.col("source").alias("domain"), F.element_at("sequence", 1).alias("line_text"))
+    return repeated_lines.covered_lines(_pages(spark, d)).withColumnRenamed("source", "domain")
 
 
 def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +49,7 @@ def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d).select("event_id", "evidence_id", "domain", "text")
-    return repeated_lines.remove_repeated(pages, repeated_lines.frequent_sequences(pages)).select("event_id", "evidence_id", "clean_text").distinct()
+    return repeated_lines.remove_repeated(pages, repeated_lines.covered_lines(pages)).select("event_id", "evidence_id", "clean_text").distinct()
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -38,34 +38,60 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+_STRIDE = 128
+
+
+def _running_sums(sizes: Column) -> Column:
+    """Running sums of an array: sums of whole strides first, then within a stride, so no step copies what is done."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda s, n: s + n)
+
+    def within(strides: Column) -> Column:
+        def at(_, i: Column) -> Column:
+            k = F.floor(i / _STRIDE).cast("int")
+            return F.get(strides, k) + total(F.slice(sizes, k * _STRIDE + 1, i - k * _STRIDE + 1))
+
+        return F.transform(sizes, at)
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _STRIDE).cast("int"))
+    totals = F.transform(starts, lambda k: total(F.slice(sizes, k * _STRIDE + 1, F.lit(_STRIDE))))
+    summed = F.aggregate(totals, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, F.lit(-1)) + n)))
+    return _let(summed, within)
+
+
 def split_pieces(text: Column, max_size: Column, overlap: Column) -> Column:
     """``array<struct<start int, core_start int, piece string>>`` of a text, by code points.
 
     Each piece has at most ``max_size`` characters; all but the first begin with the last ``overlap`` characters
     before their core, so dropping the overlaps gives the text back. A text that fits is one piece, an empty text
     is one empty piece, a null text or null limit gives null. An overlap that leaves no room (>= max_size) is cut
-    to max_size - 1. ``start`` is where the piece begins in the text, zero-based.
+    to max_size - 1. ``start`` is where the piece begins in the text, zero-based. The work grows in proportion to the
+    text: cores come out of one pass, and a piece is its core behind the last characters of the cores before it.
     """
     lap = F.greatest(F.lit(0), F.least(F.coalesce(overlap, F.lit(0)), max_size - 1))
 
+    room = max_size - lap
+    # every core but the last has at least this many characters, so so many cores before one hold its overlap
+    before = F.ceil(lap / F.greatest(F.lit(1), (room * LEAST_FILL).cast("int"))).cast("int")
+
     def tiled(head: Column) -> Column:
         # the first core has no overlap before it, so it may use that room too
         rest = F.substring(text, F.char_length(head) + 1, F.char_length(text))
-        return F.concat(F.array(F.char_length(head)), F.transform(F.regexp_extract_all(rest, _pattern(max_size - lap), F.lit(0)), lambda c: F.char_length(c)))
-
-    def summed(sizes: Column) -> Column:
-        nothing = F.array().cast("array<int>")
-        return F.aggregate(sizes, nothing, lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+        return F.concat(F.array(head), F.regexp_extract_all(rest, _pattern(room), F.lit(0)))
 
-    def cut(ends: Column) -> Column:
-        def piece(end: Column, i: Column) -> Column:
-            core = F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).cast("int")
+    def cut(cores: Column) -> Column:
+        def piece(pair: Column, i: Column) -> Column:
+            first = F.greatest(i - before, F.lit(0))
+            back = F.array_join(F.slice(cores, first + 1, i - first), "")
+            core = pair["end"] - F.char_length(pair["core"])
             start = F.greatest(F.lit(0), core - F.when(i == 0, 0).otherwise(lap)).cast("int")
-            return F.struct(start.alias("start"), core.alias("core_start"), F.substring(text, start + 1, end - start).alias("piece"))
+            return F.struct(start.alias("start"), core.cast("int").alias("core_start"), F.concat(F.right(back, core - start), pair["core"]).alias("piece"))
 
-        return F.transform(ends, piece)
+        sizes = F.transform(cores, lambda c: F.char_length(c))
+        return F.transform(F.arrays_zip(cores.alias("core"), _running_sums(sizes).alias("end")), piece)
 
-    many = _let(F.regexp_substr(text, _pattern(max_size)), lambda head: _let(_let(tiled(head), summed), cut))
+    many = _let(F.regexp_substr(text, _pattern(max_size)), lambda head: _let(tiled(head), cut))
     one = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("core_start"), text.alias("piece")))
     return F.when(text.isNull() | max_size.isNull(), None).when(F.char_length(text) <= max_size, one).otherwise(many)
 

@@ -2,10 +2,11 @@
 
 Fields that depend on each other form bundles and are taken from one record as a whole: ``body`` (text_best),
 ``address`` (canonical_url, domain), ``label`` (title), ``times`` (first_seen_at, last_seen_at). Each record's bundles
-get a trust of their own from a look at the record alone. Within a group only the most trusted bundle of each
-constraint signature can be part of a best choice, so a map-side ``max_by`` leaves as many candidates as there are
-signatures; a branch-and-bound search then picks the combination of greatest trust under the functional
-dependencies canonical_url -> domain -> site named in the title, and first_seen_at <= last_seen_at.
+get a trust and a signature from a look at the record alone: what is wrong with a body and its site, an address's site,
+the site that a title names, whether times are in order. Within a group only the first bundle of each signature
+can be part of a best choice, so a map-side aggregation leaves as many candidates as there are signatures. A
+branch-and-bound search then picks the combination of greatest trust under the functional dependencies
+canonical_url -> domain, text_best -> domain, title -> site -> domain, and first_seen_at <= last_seen_at.
 
 Groups of any size and skew: no record list is ever collected, only those reduced candidates.
 """
@@ -73,12 +74,15 @@ def body_faults(text: str | None, brand: str = "") -> set[str]:
     return faults
 
 
-def body_trust(text: str | None, brand: str = "") -> int:
+def trust_of(faults: set[str]) -> int:
     """0 to 100; only faultless texts have 100, empty ones 0."""
-    faults = body_faults(text, brand)
     return 0 if "empty" in faults else max(1, 100 - sum(PENALTY[x] for x in faults))
 
 
+def body_trust(text: str | None, brand: str = "") -> int:
+    return trust_of(body_faults(text, brand))
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").removeprefix("www.")
@@ -109,22 +113,26 @@ def label_trust(title: str | None, brand: str) -> tuple[int, str]:
     return max(1, trust), ""
 
 
-_FEATURES = "record_id long, evidence_id string, body_trust int, body_size int, address_trust int, site string, label_trust int, label_site string, times_trust int, seen long"
+_FEATURES = "record_id long, evidence_id string, body_trust int, faults string, body_size int, address_trust int, site string, broken boolean, label_trust int, label_site string, times_trust int, seen long, first long"
+_KINDS = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64())
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         c = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in _KINDS]
         for url, domain, title, text, first, last in zip(c["canonical_url"], c["domain"], c["title"], c["text_best"], c["first_seen_at"], c["last_seen_at"], strict=True):
-            brand = rules.brand_of(domain or host_of(url))
+            host = host_of(url)
+            brand = rules.brand_of(domain or host)
             trust, named = label_trust(title, brand)
-            times = 0 if first is None and last is None else 50 if first is None or last is None else 100 if first <= last else 10
-            for k, v in enumerate((body_trust(text, brand), sum(map(len, body_lines(text or ""))), address_trust(url, domain), brand, trust, named, times, _micros(last))):
+            times = 0 if first is None and last is None else 50 if first is None or last is None else 100 if first <= last else -1
+            faults = body_faults(text, brand)
+            broken = bool(host and domain and domain.removeprefix("www.").lower() != host)
+            row = (trust_of(faults), ",".join(sorted(faults)), sum(map(len, body_lines(text or ""))), address_trust(url, domain), brand, broken, trust, named, times, _micros(last), _micros(first))
+            for k, v in enumerate(row):
                 out[k].append(v)
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [b.column(b.schema.get_field_index("record_id")), b.column(b.schema.get_field_index("evidence_id")), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))],
+            [b.column(b.schema.get_field_index("record_id")), b.column(b.schema.get_field_index("evidence_id")), *(pa.array(v, k) for v, k in zip(out, _KINDS, strict=True))],
             names=[x.split()[0] for x in _FEATURES.split(", ")],
         )
 
@@ -138,24 +146,37 @@ def record_features(records: DataFrame) -> DataFrame:
     return records.select("record_id", "evidence_id", "canonical_url", "domain", "title", "text_best", "first_seen_at", "last_seen_at").mapInArrow(_features, _FEATURES)
 
 
-def choose_bundles(candidates: dict[str, list[tuple[float, str, int]]]) -> dict[str, int]:
-    """Branch and bound: one ``(trust, signature, record)`` of each bundle, of greatest total trust.
+#: A better body outweighs all other bundles together (their trusts are up to 100 each).
+BODY_WEIGHT = 1e9
+#: Signature of a bundle that breaks a dependency within itself: a host that is not the domain, times out of order.
+BROKEN = "!"
+
 
-    Consistent means that the site named by the label, if any, is the address's site. Bundles are decided in the
-    order of the spread of their trusts, candidates by trust; a branch ends where its trust plus the greatest
-    trusts still to come does not exceed the best found. Ties go to the first found, the lower record last.
+def consistent(name: str, signature: str, chosen: dict[str, tuple]) -> bool:
+    """Whether a bundle of this signature goes with those chosen: of bundles that name a site all name the same."""
+    if signature.startswith(BROKEN):
+        return False
+    if name == "times":
+        return True
+    site = signature.rpartition("|")[2]
+    return not site or all(not other or other == site for k, x in chosen.items() if k != "times" for other in (x[1].rpartition("|")[2],))
+
+
+def choose_bundles(candidates: dict[str, list[tuple]]) -> dict[str, int]:
+    """Branch and bound: one ``(trust, signature, record[, seen])`` of each bundle, of greatest total trust.
+
+    Signatures are ``site`` or ``what|site``; see ``consistent``. Bundles are decided body first, then by their
+    greatest trust, candidates by trust; a branch ends where its trust plus the greatest trusts still to come does not
+    exceed the best found. Ties go to the later seen, then the higher record. A bundle of which no candidate is
+    consistent with the rest comes from its most trusted record.
     """
-    names = sorted((k for k in candidates if candidates[k]), key=lambda k: (k != "body", -max(t for t, _, _ in candidates[k])))
-    ranked = {k: sorted(candidates[k], key=lambda x: (-x[0], -x[2])) for k in names}
+    names = sorted((k for k in candidates if candidates[k]), key=lambda k: (k != "body", -max(x[0] for x in candidates[k])))
+    ranked = {k: sorted(candidates[k], key=lambda x: (-x[0], -(x[3] if len(x) > 3 else 0), -x[2])) for k in names}
     room = [0.0] * (len(names) + 1)
     for i in range(len(names) - 1, -1, -1):
         room[i] = room[i + 1] + ranked[names[i]][0][0]
     best: tuple[float, dict[str, int]] = (-1.0, {})
 
-    def fits(chosen: dict[str, tuple], name: str, item: tuple) -> bool:
-        label, address = (item, chosen.get("address")) if name == "label" else (chosen.get("label"), item) if name == "address" else (None, None)
-        return not label or not address or not label[1] or label[1] == address[1]
-
     def search(i: int, trust: float, chosen: dict[str, tuple]) -> None:
         nonlocal best
         if trust + room[i] <= best[0]:
@@ -166,13 +187,12 @@ def choose_bundles(candidates: dict[str, list[tuple[float, str, int]]]) -> dict[
         for item in ranked[names[i]]:
             if trust + item[0] + room[i + 1] <= best[0]:
                 break
-            if fits(chosen, names[i], item):
+            if consistent(names[i], item[1], chosen):
                 search(i + 1, trust + item[0], {**chosen, names[i]: item})
-        if not chosen.get(names[i]) and i < len(names):
-            search(i + 1, trust, chosen)  # the bundle left open, should nothing be consistent
+        search(i + 1, trust, chosen)  # the bundle left open, should nothing be consistent
 
     search(0, 0.0, {})
-    return best[1]
+    return {k: best[1].get(k, ranked[k][0][2]) for k in names}
 
 
 _CHOSEN = "evidence_id string, records long, body_record long, address_record long, label_record long, times_record long"
@@ -184,7 +204,7 @@ def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for evidence_id, records, found in zip(pdf["evidence_id"], pdf["records"], pdf["found"], strict=True):
             by: dict[str, list[tuple[float, str, int]]] = {}
             for x in found:
-                by.setdefault(x["bundle"], []).append((float(x["trust"]), x["signature"] or "", int(x["record_id"])))
+                by.setdefault(x["bundle"], []).append((float(x["trust"]), x["signature"], int(x["record_id"]), int(x["seen"])))
             got = choose_bundles(by)
             rows.append((evidence_id, records, *(got.get(k) for k in ("body", "address", "label", "times"))))
         out = pd.DataFrame(rows, columns=[x.split()[0] for x in _CHOSEN.split(", ")])
@@ -196,44 +216,46 @@ def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def choose_survivors(records: DataFrame, least: int = 1) -> DataFrame:
     """evidence_id, records and the record that supplies each bundle, for groups of at least ``least`` records.
 
-    Among bodies of equal trust the longer is the more complete, then the latest last_seen_at, then the higher
-    record_id. Records without an evidence_id form one group under null. A group without any usable text still gets
-    a body record (trust 0). Every row counts as a record. Empty table: no rows.
+    Among bodies of equal faults the longer is the more complete, then the latest last_seen_at, then the higher
+    record_id. Of times in order the latest last_seen_at is best, then the earliest first_seen_at. Records without an
+    evidence_id form one group under null. A group without any usable text still gets a body record (trust 0). Every
+    row counts as a record. Empty table: no rows.
     """
     feats = record_features(records)
     size = F.col("body_size") / (F.col("body_size") + 10_000.0)
+    seen, none = F.coalesce("seen", F.lit(-1).cast("long")), F.lit(0).cast("long")
 
     def bundle(name: str, signature, trust, first, second):
-        rank = F.struct(first.alias("a"), second.alias("b"), F.coalesce("seen", F.lit(-1)).alias("seen"), F.col("record_id").alias("record_id"))
+        rank = F.struct(first.cast("long").alias("a"), seen.alias("seen"), second.cast("long").alias("b"), F.col("record_id").alias("record_id"))
         return F.struct(F.lit(name).alias("bundle"), F.coalesce(signature, F.lit("")).alias("signature"), trust.cast("double").alias("trust"), rank.alias("rank"))
 
-    none = F.lit(0)
     bundles = F.array(
-        bundle("body", F.lit(""), (F.col("body_trust") + size) * 1000, F.col("body_trust"), F.col("body_size")),
-        bundle("address", F.col("site"), F.col("address_trust"), F.col("address_trust"), none),
+        bundle("body", F.concat_ws("|", "faults", "site"), (F.col("body_trust") + size) * BODY_WEIGHT, F.col("body_size"), none),
+        bundle("address", F.when(F.col("broken"), F.lit(BROKEN)).otherwise(F.col("site")), F.col("address_trust"), F.col("address_trust"), none),
         bundle("label", F.col("label_site"), F.col("label_trust"), F.col("label_trust"), none),
-        bundle("times", F.lit(""), F.col("times_trust"), F.col("times_trust"), none),
+        bundle("times", F.when(F.col("times_trust") < 0, F.lit(BROKEN)).otherwise(F.lit("")), F.greatest("times_trust", none), F.col("times_trust"), -F.coalesce("first", none)),
     )
     reduced = feats.select("evidence_id", "record_id", F.inline(bundles)).groupBy("evidence_id", "bundle", "signature")
     reduced = reduced.agg(F.max(F.struct("rank", "trust")).alias("top"), F.count(F.lit(1)).alias("n"))
     groups = reduced.groupBy("evidence_id").agg(
         F.sum(F.when(F.col("bundle") == "body", F.col("n"))).alias("records"),
-        F.collect_list(F.struct("bundle", "signature", F.col("top.trust").alias("trust"), F.col("top.rank.record_id").alias("record_id"))).alias("found"),
+        F.collect_list(F.struct("bundle", "signature", F.col("top.trust").alias("trust"), F.col("top.rank.record_id").alias("record_id"), F.col("top.rank.seen").alias("seen"))).alias("found"),
     )
     return groups.where(F.col("records") >= least).mapInPandas(_choose, _CHOSEN)
 
 
 def build_survivors(records: DataFrame) -> DataFrame:
-    """One surviving record per evidence_id: text, address and title of the chosen records, widest times.
+    """One surviving record per evidence_id, each bundle whole from the record that ``sources`` names for it.
 
-    first_seen_at is the earliest and last_seen_at the latest that the group's records offer; ``sources`` names the
-    records that supplied the bundles. The texts are read again by three equi-joins on record_id.
+    Text, address, title and both times come from the chosen records. They are read again by one equi-join on
+    record_id and folded by group.
     """
     chosen = choose_survivors(records)
-    body = records.select(F.col("record_id").alias("body_record"), F.col("source_kind"), F.col("text_best"))
-    address = records.select(F.col("record_id").alias("address_record"), "canonical_url", "domain")
-    label = records.select(F.col("record_id").alias("label_record"), "title")
-    times = records.groupBy("evidence_id").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
-    out = chosen.join(body, "body_record", "left").join(address, "address_record", "left").join(label, "label_record", "left")
-    out = out.join(times.withColumnRenamed("evidence_id", "__e"), F.col("evidence_id").eqNullSafe(F.col("__e")), "left")
-    return out.select("evidence_id", "source_kind", "canonical_url", "domain", "title", "text_best", "first_seen_at", "last_seen_at", "records", F.struct("body_record", "address_record", "label_record", "times_record").alias("sources"))
+    sources = F.struct("body_record", "address_record", "label_record", "times_record")
+    roles = F.array(*[F.struct(F.lit(k).alias("role"), F.col(f"{k}_record").alias("record_id")) for k in ("body", "address", "label", "times")])
+    picks = chosen.select("evidence_id", "records", sources.alias("sources"), F.inline(roles)).where(F.col("record_id").isNotNull())
+    fields = {"body": ("source_kind", "text_best"), "address": ("canonical_url", "domain"), "label": ("title",), "times": ("first_seen_at", "last_seen_at")}
+    read = records.select("record_id", *[c for columns in fields.values() for c in columns])
+    parts = [F.max(F.when(F.col("role") == k, F.struct(*columns))).alias(k) for k, columns in fields.items()]
+    out = picks.join(read, "record_id", "left").groupBy("evidence_id", "records", "sources").agg(*parts)
+    return out.select("evidence_id", "body.source_kind", "address.canonical_url", "address.domain", "label.title", "body.text_best", "times.first_seen_at", "times.last_seen_at", "records", "sources")

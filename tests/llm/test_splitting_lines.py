@@ -44,8 +44,8 @@ def test_items_and_runs(spark):
 PAGES = "domain string, evidence_id string, text string, source string, document string"
 
 
-def brute(rows, least, percent, k):
-    """Frequent runs of k lines by counting everything."""
+def brute(rows, least, percent):
+    """Frequent single lines by counting everything."""
     norm = lambda line: " ".join(__import__("re").sub("[0-9]+", "0", " ".join(line.lower().split())).split())
     docs, single = {}, {}
     for domain, doc, text, *_ in rows:
@@ -54,34 +54,29 @@ def brute(rows, least, percent, k):
         docs.setdefault(domain, set()).add(doc)
         for line in set(filter(None, map(norm, (text or "").split("\n")))):
             single.setdefault((domain, line), set()).add(doc)
-    ok = lambda d, s: len(s) >= least and len(s) * 100 >= percent * len(docs[d])
-    frequent = {x for x, s in single.items() if ok(x[0], s)}
-    seen = {}
-    for domain, doc, text, *_ in rows:
-        if domain is None or text is None:
-            continue
-        lines = [x for x in map(norm, text.split("\n")) if x and (domain, x) in frequent]
-        for i in range(len(lines) - k + 1):
-            seen.setdefault((domain, tuple(lines[i : i + k])), set()).add(doc)
-    return {(d, seq): len(s) for (d, seq), s in seen.items() if ok(d, s)}
+    return {x: len(s) for x, s in single.items() if len(s) >= least and len(s) * 100 >= percent * len(docs[x[0]])}
 
 
-def test_sequences_equal_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [500_000, -1])
+def test_lines_and_their_removal_equal_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(R, "BROADCAST_LINES", broadcast)  # beyond the bound sides are joined by salt
     rows = []
     for i in range(30):
         body = f"unique text {'abcdefghij'[i % 10]}{'klm'[i // 10]}"
         rows.append(("a.test", f"d{i}", f"Share  this\n{body}\n\n© {2000 + i} All\nHome\nHelp" if i % 3 else f"{body}\nHome", "s", None))
-    rows += [("b.test", "x", "Home\nHelp", None, None), (None, "y", "Home", None, None), ("a.test", "d1", "Share this\nagain", None, None), ("a.test", "n", None, None, None), ("a.test", "e", " \n\t", None, None)]
+    rows += [("b.test", "x", "Home\nHelp", None, None), (None, "y", "Home", None, None), ("a.test", "d1", "Share this\nagain", None, None), ("a.test", "n", None, None, None), ("a.test", "e", " \n\t", None, None), ("a.test", None, "Home", None, None)]
     df = spark.createDataFrame(rows, PAGES)
-    got = R.frequent_sequences(df, least=5, percent=20, max_length=4).collect()
-    for k in (1, 2, 3, 4):
-        assert {(r.source, tuple(r.sequence)): r.support for r in got if r.length == k} == brute(rows, 5, 20, k), k
+    want = brute(rows, 5, 20)
+    got = R.prefixspan(df, least=5, percent=20).collect()
+    assert {(r.source, r.sequence[0]): r.support for r in got if r.length == 1} == want
     assert ("a.test", ("© 0 all", "home", "help")) in {(r.source, tuple(r.sequence)) for r in got}
-    clean = R.remove_repeated(df, R.frequent_sequences(df, max_length=1))
+    covered = R.covered_lines(df)
+    assert sorted((r.source, r.line_text) for r in covered.collect()) == sorted(want)
+    clean = R.remove_repeated(df, covered)
     assert clean.columns == [*df.columns, "clean_text"] and clean.count() == len(rows)
     by = {(r.domain, r.evidence_id): r for r in clean.collect()}
     assert by["a.test", "d2"].clean_text.strip() == "unique text ck" and by["b.test", "x"].clean_text == "Home\nHelp" and by[None, "y"].clean_text == "Home" and by["a.test", "n"].clean_text is None
-    assert R.frequent_sequences(df.where("false")).count() == 0
+    assert R.prefixspan(df.where("false")).count() == 0 == R.covered_lines(df.where("false")).count()
 
 
 def brute_gapped(rows, least, percent):
@@ -111,3 +106,40 @@ def test_prefixspan_equals_all_subsequences_with_gaps_and_long_ones(spark):
     assert {(r.source, tuple(r.sequence)): r.support for r in got} == want and len(got) == len(want)
     assert max(r.length for r in got) > 4 and all(r.length == len(r.sequence) for r in got)
     assert ("a.test", ("a", "c", "h")) in want and R.prefixspan(df.where("false")).count() == 0
+
+
+def test_closed_growth_contains_every_frequent_sequence():
+    import random
+
+    def within(a, b):
+        it = iter(b)
+        return all(x in it for x in a)
+
+    dice = random.Random(3)
+    for _ in range(150):
+        docs = [([[x for x in range(6) if dice.random() < 0.7] if dice.random() < 0.5 else dice.choices(range(5), k=dice.randint(0, 7)) for _ in range(dice.choice([1, 1, 2]))], dice.choice([1, 1, 3])) for _ in range(dice.randint(1, 9))]
+        docs = [(t, w) for t, w in docs if any(t)]
+        everything, closed = dict(R.grow(docs, 2)), dict(R.grow(docs, 2, closed=True))
+        assert all(everything[x] == n for x, n in closed.items())
+        for x, n in everything.items():
+            assert any(m == n and within(x, y) for y, m in closed.items()), (docs, x)
+
+
+def test_lines_on_all_pages_give_one_closed_sequence_not_a_power_set():
+    docs = [([list(range(40))], 100)]
+    assert [len(x) for x, _ in R.grow(docs, 50, closed=True)] == list(range(1, 41))
+
+
+def test_very_long_texts_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([("Some words of a sentence. " * (n // 26), 3600, 200)], "t string, m int, o int")
+        began = time.perf_counter()
+        got = df.select(P.split_pieces(df.t, df.m, df.o).alias("p")).selectExpr("size(p)", "p[size(p) - 1].start").first()
+        assert got[0] > n // 3600 and got[1] < n
+        return time.perf_counter() - began
+
+    took(100_000)
+    small, large = took(500_000), took(4_000_000)
+    assert large < 24 * small + 2

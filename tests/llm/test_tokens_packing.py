@@ -95,3 +95,28 @@ def test_containers(spark):
         assert sorted(r.start_token for r in mine if r.item_id == 1) == list(range(0, 25, cap))
         assert all(r.part_no == 0 for r in mine if r.item_id != 1) and len([r for r in mine if r.item_id == 4]) == 2
     assert packing.fill_containers(items.where("false"), caps).count() == 0 and packing.fill_containers(items, caps.where("false")).count() == 0
+
+
+def test_tails_of_all_blocks_are_searched_together(spark):
+    import random
+
+    dice = random.Random(1)
+    sizes = [dice.randint(1, 60) for _ in range(3000)]
+    items = spark.createDataFrame([(7 if i % 3 else None, n) for i, n in enumerate(sizes)], "item_id long, n_tokens int")  # few ids, many rows
+    caps = spark.createDataFrame([("c", 100)], "limit_name string, capacity int")
+    rows = packing.fill_containers(items, caps, block_items=100).collect()
+    fill = {}
+    for r in rows:
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.n_tokens
+    assert sorted(r.n_tokens for r in rows) == sorted(sizes) and max(fill.values()) <= 100
+    apart = sum(max(packing.pack(sizes[i::30], 100)) + 1 for i in range(30))  # 30 blocks without the second search
+    assert len(fill) - -(-sum(sizes) // 100) <= 6 < apart - -(-sum(sizes) // 100)
+
+
+def test_more_capacities_than_one_call_takes_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_LIMITS", 3)
+    items = spark.createDataFrame([(1, 5)], "item_id long, n_tokens int")
+    caps = lambda n: spark.createDataFrame([(f"c{i}", 10 + i) for i in range(n)], "limit_name string, capacity int")
+    assert packing.fill_containers(items, caps(3)).count() == 3
+    with pytest.raises(ValueError):
+        packing.fill_containers(items, caps(4))
