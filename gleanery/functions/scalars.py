@@ -226,6 +226,12 @@ def boolish(c: Column) -> Column:
     return F.lower(text(c)).isin("true", "1", "yes")
 
 
+def boolish_or_number(c: Column) -> Column:
+    """Set flags: true, 1 and yes, and numbers other than zero; never null."""
+    number = ws_trim(c).try_cast("double")
+    return F.coalesce(boolish(c) | F.coalesce(number != 0, F.lit(False)), F.lit(False))
+
+
 def tristate(value: str | None) -> bool | None:
     """A request's flag: true, false, or not given."""
     v = (value or "").strip().lower()
@@ -291,10 +297,15 @@ def text_fields(shown: Column) -> Column:
 
     Objects and lists are left out. One pass over the object, however many aliases are read from it afterwards.
     """
-    raw = F.from_json(shown, "map<string,string>")
+    return scalar_fields(F.from_json(shown, "map<string,string>"))
+
+
+def scalar_fields(raw: Column) -> Column:
+    """The scalar fields of a map of an object's fields as texts; see ``text_fields``. A text that only begins like a
+    list or object is a text."""
 
     def clean(_, x: Column) -> Column:
-        return F.when(x.rlike(r"^\s*[\[{]"), F.lit("")).otherwise(F.regexp_replace(ws_trim(x), r"^(-?\d+)\.0+$", "$1"))
+        return F.when(x.rlike(r"^\s*[\[{]") & F.try_parse_json(x).isNotNull(), F.lit("")).otherwise(F.regexp_replace(ws_trim(x), r"^(-?\d+)\.0+$", "$1"))
 
     return F.map_filter(F.transform_values(raw, clean), lambda k, x: x != "")
 

@@ -10,40 +10,84 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions import scalars as S
+
 #: Greedy packing: size of a chunk, what is too small to stand alone (fixed values).
 CHUNK, TINY = 3600, 240
 #: Bounds of what one page's extraction keeps (fixed values).
 MOST = {"links": 500, "images": 200, "headings": 200, "tables": 40, "rows": 200, "jsonld": 20}
 
 
-def chunk_text(text: str | None, size: int = CHUNK, tiny: int = TINY) -> list[str]:
-    """Paragraphs packed greedily into chunks of at most ``size``; oversized ones are cut at white space where there
-    is any, a tiny last chunk joins its predecessor if both fit. Null and blank texts give none."""
-    parts: list[str] = []
-    for p in re.split(r"\n[ \t\r]*\n", (text or "").strip()):
-        p = p.strip()
-        while len(p) > size:
-            at = p.rfind(" ", size // 2, size)
-            at = at if at > 0 else size
-            parts.append(p[:at].strip())
-            p = p[at:].strip()
-        if p:
-            parts.append(p)
+def _width_cuts(paragraph: str, size: int, room: int) -> list[str]:
+    """An oversized paragraph in pieces of ``size`` characters, the first split once more where ``room`` ends."""
+    bounds = sorted({0, *range(size, len(paragraph), size), len(paragraph), *([room] if 0 < room < size else [])})
+    return [paragraph[i:j].strip() for i, j in zip(bounds, bounds[1:])]
+
+
+def _packed(paragraphs: list[str], size: int) -> Iterator[str]:
+    """Paragraphs joined while a blank line more fits; oversized ones fill up what is begun and are cut by width."""
+    begun: list[str] = []
+    used = 0
+    for p in paragraphs:
+        need = len(p) + 2
+        if need > size:
+            prefix = "\n\n".join(begun)
+            room = size - len(prefix) - 2 if prefix else 0
+            pieces = _width_cuts(p, size, room)
+            if prefix:
+                yield f"{prefix}\n\n{pieces.pop(0)}".strip() if room > 0 else prefix
+            yield from (x for x in pieces if x)
+            begun, used = [], 0
+            continue
+        if begun and used + need > size:
+            yield "\n\n".join(begun)
+            begun, used = [], 0
+        begun.append(p)
+        used += need
+    if begun:
+        yield "\n\n".join(begun)
+
+
+def _tiny_joined(chunks: list[str], size: int, tiny: int) -> list[str]:
+    """Tiny chunks go before their successor where both fit, a last one behind its predecessor."""
     out: list[str] = []
-    for p in parts:
-        if out and len(out[-1]) + 2 + len(p) <= size:
-            out[-1] += "\n\n" + p
+    held = ""
+    for chunk in chunks:
+        if held:
+            if len(held) + 2 + len(chunk) <= size:
+                chunk = f"{held}\n\n{chunk}"
+            else:
+                out.append(held)
+            held = ""
+        if len(chunk) < tiny:
+            held = chunk
         else:
-            out.append(p)
-    if len(out) > 1 and len(out[-1]) < tiny and len(out[-2]) + 2 + len(out[-1]) <= size:
-        last = out.pop()
-        out[-1] += "\n\n" + last
+            out.append(chunk)
+    if held and out and len(out[-1]) + 2 + len(held) <= size:
+        out[-1] += f"\n\n{held}"
+    elif held:
+        out.append(held)
     return out
 
 
+def chunk_text(text: str | None, size: int = CHUNK, tiny: int = TINY) -> list[str]:
+    """A text in chunks of at most ``size`` characters, its paragraphs packed greedily.
+
+    A paragraph beyond the size is cut by width, its beginning filling up the chunk begun before it; a chunk below
+    ``tiny`` is carried over to the next one where both fit. Null and blank texts give none; nothing but white space at
+    cuts is lost.
+    """
+    whole = (text or "").strip()
+    if len(text or "") <= size:
+        return [whole] if whole else []
+    paragraphs = [p for p in (x.strip() for x in re.split(r"\n\s*\n", whole)) if p]
+    chunks = list(_packed(paragraphs, size))
+    return chunks if len(chunks) < 2 else _tiny_joined(chunks, size, tiny)
+
+
 def chunk_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, chunk_no, chunk, n_chars``: a map over the documents."""
     kind = docs.schema[key].dataType.simpleString()
@@ -210,8 +254,59 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", sour
     return out.withColumns({"text_hash": F.sha2("text", 256), "document_id": F.substring(F.sha2(F.concat_ws("\x00", "canonical_url", "title", "text"), 256), 1, 24)})
 
 
-def evidence_blocks(text: DataFrame, key: str, title: str, body: str, most: int = 800) -> DataFrame:
-    """Ordered blocks of a document: its title, then its paragraphs; those beyond ``most`` are told as omitted."""
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(F.col(body), F.lit("")), r"\n\s*\n"), F.trim), lambda x: x != "")
-    blocks = F.concat(F.filter(F.array(F.struct(F.lit("title").alias("kind"), F.coalesce(F.col(title), F.lit("")).alias("block"))), lambda b: b["block"] != ""), F.transform(paragraphs, lambda x: F.struct(F.lit("paragraph").alias("kind"), x.alias("block"))))
-    return text.select(key, F.slice(blocks, 1, most).alias("blocks"), F.greatest(F.size(blocks) - most, F.lit(0)).alias("omitted"))
+#: Longest block, and the pieces that longer ones are cut into; fewest paragraphs that are not taken by lines instead.
+BLOCK, BLOCK_PIECE, FEW_PARAGRAPHS = 1800, 1400, 3
+_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def text_blocks(body: Column) -> Column:
+    """All blocks of a text: its paragraphs, its lines where there are three paragraphs or fewer, long ones in pieces."""
+
+    def cleaned(parts: Column) -> Column:
+        return F.filter(F.transform(parts, S.clean_space), lambda x: x != "")
+
+    def pieces(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.char_length(x) - 1) / BLOCK_PIECE).cast("int"))
+        cut = F.transform(starts, lambda i: S.clean_space(F.substring(x, i * BLOCK_PIECE + 1, F.lit(BLOCK_PIECE))))
+        return F.when(F.char_length(x) <= BLOCK, F.array(x)).otherwise(F.filter(cut, lambda y: y != ""))
+
+    text = F.coalesce(body, F.lit(""))
+    paragraphs = cleaned(F.split(text, r"\n\s*\n"))
+    parts = F.when(F.size(paragraphs) > FEW_PARAGRAPHS, paragraphs).otherwise(cleaned(F.split(text, _LINE_ENDS)))
+    return F.flatten(F.transform(parts, pieces))
+
+
+def evidence_blocks(docs: DataFrame, key: str, title: str, body: str, most: int = 800) -> DataFrame:
+    """Ordered blocks of a document: its title, then those of its text; those beyond ``most`` are told as omitted."""
+    titled = F.filter(F.array(F.struct(F.lit("title").alias("kind"), S.text(F.col(title)).alias("block"))), lambda b: b["block"] != "")
+    made = docs.select(key, F.concat(titled, F.transform(text_blocks(F.col(body)), lambda x: F.struct(F.lit("paragraph").alias("kind"), x.alias("block")))).alias("all"))
+    return made.select(key, F.slice("all", 1, most).alias("blocks"), F.greatest(F.size("all") - most, F.lit(0)).alias("omitted"))
+
+
+def evidence_documents(extracted: DataFrame, key: str = "page_id", most: int = 800) -> DataFrame:
+    """Evidence documents of extracted pages: ordered blocks, assets, what was left out, quality and a revision id.
+
+    Blocks are the title, the headings, the text's blocks and the tables' rows as text, numbered in order; ``quality``
+    tells what the page had; the revision id is a hash of address and blocks, so an unchanged page keeps it.
+    """
+    block = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    rows = F.flatten(F.transform("tables", lambda t: F.transform(t, lambda r: block("table_row", F.array_join(r, " | ")))))
+    every = F.concat(
+        F.array(block("title", F.coalesce("title", F.lit("")))),
+        F.transform("headings", lambda h: block("heading", h["text"])),
+        F.transform(text_blocks(F.col("text")), lambda x: block("paragraph", x)),
+        rows,
+    )
+    made = extracted.withColumn("all", F.filter(every, lambda b: b["text"] != ""))
+    quality = F.struct(
+        (F.char_length("text") >= 200).alias("has_main_text"),
+        (F.coalesce("published_at", F.lit("")) != "").alias("has_date"),
+        (F.coalesce("title", F.lit("")) != "").alias("has_title"),
+        F.char_length("text").alias("text_chars"),
+    )
+    blocks = F.transform(F.slice("all", 1, most), lambda b, i: F.struct(i.alias("ordinal"), b["kind"].alias("kind"), b["text"].alias("text")))
+    return made.select(
+        key, "document_id", "canonical_url", "title", "published_at", blocks.alias("blocks"), F.transform("images", lambda x: F.struct(F.lit("image").alias("kind"), x["url"].alias("url"), x["alt"].alias("alt"))).alias("assets"),
+        F.greatest(F.size("all") - most, F.lit(0)).alias("omitted_blocks"), quality.alias("quality"),
+        F.concat(F.lit("rev_"), F.substring(F.sha2(F.concat_ws("\x00", "canonical_url", F.to_json("all")), 256), 1, 24)).alias("revision_id"),
+    )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +39,3 @@ def research_chunks(docs: DataFrame, key: str, text: str, project: str) -> DataF
     made = documents.chunk_documents(docs, key, text)
     ident = F.format_string(f"research-doc-{project}-%s-chunk-%04d", F.substring(S.stable_hash(F.col(key), F.lit(project)), 1, 20), F.col("chunk_no"))
     return made.select(key, "chunk_no", ident.alias("input_id"), "n_chars")
-
-
-def lookup_keys(query: str) -> list[str]:
-    """Keys that a query may name, in order: itself, a status id, a handle, an address, a prefixed id."""
-    q = query.strip()
-    out = [q] if "/" in q and not q.lower().startswith("http") else []
-    if m := re.search(S.STATUS_URL, q):
-        out.append(f"post/{m[2]}")
-    if re.fullmatch(r"\d{5,}", q):
-        out.append(f"post/{q}")
-    if m := re.fullmatch(r"@?([A-Za-z0-9_]{1,30})", q):
-        out.append(f"account/{m[1].lower()}")
-    if q.lower().startswith("http"):
-        out.append(f"web_document/{q}")
-    return list(dict.fromkeys(out))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import scalars as S
 from gleanery.operators import analytics as A
-from gleanery.operators import documents, ingest, labels, retrieval
+from gleanery.operators import documents, labels, retrieval
 from gleanery.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -524,121 +524,39 @@ def quality_action_labels(spark, d):
     return e.select("event_id", "evidence_id", has("quality.has_ocr").alias("has_ocr"), has("quality.direct_web_capture").alias("direct"), has("quality.user_supplied").alias("user_supplied"))
 
 
-@query()
-def annotations(spark, d):
-    return labels.annotation_ids(labels.annotate(ev(spark, d)).dropDuplicates(["evidence_id", "family", "label_id", "value"]))
-
-
-@query()
-def annotation_totals(spark, d):
-    a = labels.annotate(ev(spark, d))
-    return a.groupBy("family", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 3).alias("confidence"))
-
-
-@query()
-def planner_signals(spark, d):
-    return labels.classify_signals(labels.annotate(ev(spark, d)))
-
-
-# ------------------------------------------------------------------ ingest
-
-
-def _parsed(spark, d):
-    return ingest.parse(table(spark, d, "capture_events"))
-
-
-@query("""WITH r AS (SELECT topic_name, kafka_partition, kafka_offset, CASE WHEN json_valid(raw_value) AND json_type(raw_value::JSON) = 'OBJECT' THEN raw_value::JSON END AS j FROM capture_events)
-          SELECT kafka_partition, kafka_offset, j IS NOT NULL AS parsed, coalesce(json_extract_string(j, '$.collector_run_id'), '') AS collector_run_id, TRY_CAST(json_extract_string(j, '$.event_index') AS BIGINT) AS event_index FROM r""")
-def ingest_parse(spark, d):
-    return _parsed(spark, d).select("kafka_partition", "kafka_offset", F.col("doc").isNotNull().alias("parsed"), "collector_run_id", "event_index")
-
-
-@query()
-def ingest_validate(spark, d):
-    return ingest.source_kinds(ingest.validate(_parsed(spark, d))).select("kafka_partition", "kafka_offset", "error", "primary_kind", "n_records")
-
-
-@query()
-def ingest_dead_letters(spark, d):
-    return ingest.dead_letters(ingest.validate(_parsed(spark, d)))
-
-
-@query("""WITH r AS (SELECT raw_value::JSON AS j FROM capture_events WHERE json_valid(raw_value) AND json_type(raw_value::JSON) = 'OBJECT'), p AS (SELECT coalesce(json_extract_string(j,'$.collector_run_id'),'') AS run, coalesce(json_extract_string(j,'$.event_index'),'') AS idx, unnest(CASE WHEN json_type(j, '$.posts') = 'ARRAY' THEN json_extract(j, '$.posts[*]') ELSE [] END) AS x FROM r)
-          SELECT CASE WHEN idx = '' THEN run ELSE run || ':' || idx END AS event_id, coalesce(json_extract_string(x, '$.post_id'), '') AS evidence_id, coalesce(nullif(trim(json_extract_string(x, '$.text')),''), nullif(trim(json_extract_string(x, '$.full_text')),''), nullif(trim(json_extract_string(x, '$.content')),''), nullif(trim(json_extract_string(x, '$.body')),''), '') AS text FROM p WHERE json_type(x) = 'OBJECT' AND coalesce(json_extract_string(x, '$.post_id'), '') <> ''""")
-def ingest_posts(spark, d):
-    p = ingest.project_posts(_parsed(spark, d))
-    return p.select("event_id", "evidence_id", "text")
-
-
-@query()
-def ingest_observed(spark, d):
-    return ingest.project_all(_parsed(spark, d))
-
-
-@query()
-def ingest_accounts(spark, d):
-    return ingest.project_accounts(_parsed(spark, d))
-
-
-@query()
-def ingest_media(spark, d):
-    return ingest.project_media(_parsed(spark, d))
-
-
-@query()
-def ingest_search_results(spark, d):
-    return ingest.project_search_results(_parsed(spark, d))
-
-
-@query()
-def ingest_web_documents(spark, d):
-    return ingest.project_web_documents(_parsed(spark, d))
-
-
-@query()
-def ingest_user_inputs(spark, d):
-    return ingest.project_user_inputs(_parsed(spark, d))
-
-
-@query()
-def ingest_root_rows(spark, d):
-    return ingest.root_rows(_parsed(spark, d))
-
-
-@query()
-def ingest_collector_runs(spark, d):
-    return ingest.collector_runs(_parsed(spark, d))
-
-
-@query()
-def ingest_media_requests(spark, d):
-    return ingest.media_requests(ingest.project_media(_parsed(spark, d)))
-
-
-@query()
-def ingest_shadow(spark, d):
-    return ingest.shadow_envelope(ingest.project_posts(_parsed(spark, d)))
-
-
 # ------------------------------------------------------------------ retrieval, documents
 
 
-@query()
+@query("""WITH q AS (SELECT lower(min(author_handle)) AS h FROM evidence_events WHERE author_handle <> ''), n AS (SELECT evidence_id, max(epoch(date_trunc('second', ingested_at)))::DOUBLE AS score FROM evidence_events, q WHERE lower(regexp_replace(author_handle, '^@+', '')) = ltrim(h, '@') GROUP BY 1)
+          SELECT evidence_id, row_number() OVER (ORDER BY score DESC, evidence_id) AS rank FROM n ORDER BY score DESC, evidence_id LIMIT 20""")
 def exact_candidates(spark, d):
+    """Rows of one handle; the handle itself is looked up, as a request would bring it."""
     e = ev(spark, d)
-    handle = e.where("author_handle IS NOT NULL").agg(F.min("author_handle")).first()[0] or ""
-    return retrieval.exact(e, f"@{handle}", 20)
+    handle = e.where("author_handle <> ''").agg(F.min("author_handle")).first()[0] or ""
+    return retrieval.exact(e, f"@{handle}", 20).select("evidence_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH h AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(title,'') || ' ' || coalesce(text,'')), '[^\\p{L}\\p{N}]+') AS w FROM documents) SELECT doc_id FROM h WHERE list_has_any(w, ['leaderboard', 'checksum'])""")
 def keyword_match_set(spark, d):
-    hits = retrieval.keyword(table(spark, d, "documents"), "leaderboard checksum", {"title": 1.0, "text": 1.0}, 2_000_000_000, ident="doc_id")
-    return hits.select(F.col("evidence_id").alias("doc_id"))
+    return retrieval.keyword_scores(table(spark, d, "documents"), "leaderboard checksum", {"title": 1.0, "text": 1.0}, "doc_id").select("doc_id")
 
 
-@query()
+_BM25 = """WITH h AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(title,'') || ' ' || coalesce(title,'') || ' ' || coalesce(text,'')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+    t AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'normalizer')) AS a, len(list_filter(w, lambda x: x = 'retrieval')) AS b FROM h),
+    s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM t),
+    r AS (SELECT doc_id, ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM t, s WHERE a > 0 OR b > 0)"""
+
+
+@query(_BM25 + " SELECT doc_id, round(score, 6) AS score FROM r")
+def keyword_scores(spark, d):
+    hits = retrieval.keyword_scores(table(spark, d, "documents"), "retrieval normalizer", {"title": 2.0, "text": 1.0}, "doc_id")
+    return hits.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_BM25 + " SELECT doc_id AS evidence_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r ORDER BY score DESC, doc_id LIMIT 50")
 def keyword_candidates(spark, d):
-    return retrieval.keyword(table(spark, d, "documents"), "retrieval normalizer", {"title": 2.0, "text": 1.0}, 50, ident="doc_id")
+    hits = retrieval.keyword(table(spark, d, "documents"), "retrieval normalizer", {"title": 2.0, "text": 1.0}, 50, ident="doc_id")
+    return hits.select("evidence_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings WHERE label < 5 ORDER BY vec_id LIMIT 40), b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC) AS r FROM embeddings ORDER BY vec_id DESC LIMIT 40)
@@ -652,12 +570,17 @@ def rrf_fusion(spark, d):
 
 @query()
 def hybrid_search(spark, d):
-    e = A.latest_by(ev(spark, d).select("evidence_id", "title", "text", "canonical_url", "author_handle", "ingested_at", "event_id"), ["evidence_id"], ["ingested_at", "event_id"])
-    kw = retrieval.keyword(e, "leaderboard retrieval", {"title": 2.0, "text": 1.0}, 40)
-    q = spark.range(1).select(retrieval.stand_in_embedding(F.lit("leaderboard retrieval")).alias("v")).first()["v"]
-    vec = retrieval.vector(e.withColumn("embedding", retrieval.stand_in_embedding(F.concat_ws(" ", "title", "text"))), q, "text_dense", 40)
-    fused = retrieval.hydrate(retrieval.fuse([kw, vec]).drop("ranks"), e.select("evidence_id", "title"))
-    return retrieval.rerank(fused, lambda c: -F.char_length(F.coalesce(c, F.lit(""))), "title").select("evidence_id", "title", F.round("score", 9).alias("score"))
+    """A request through all its branches; vectors are the labelled stand-in, branches without points are told as such."""
+    e = A.latest_by(ev(spark, d).select("evidence_id", "title", "text", "canonical_url", "author_handle", "source_kind", "ingested_at", "event_id"), ["evidence_id"], ["ingested_at", "event_id"])
+    q = spark.range(1).select(retrieval.stand_in_embedding(F.lit("leaderboard retrieval")).alias("q"))
+    points = e.select("evidence_id", retrieval.stand_in_embedding(F.concat_ws(" ", "title", "text")).alias("embedding"))
+    branches = {
+        "exact": lambda r: retrieval.exact(e, r["query"], r["branch_limit"]),
+        "keyword": lambda r: retrieval.keyword(e, r["query"], {"title": 2.0, "text": 1.0}, r["branch_limit"]),
+        "text_dense": lambda r: retrieval.vector_of(points, q, "text_dense", r["branch_limit"]),
+    }
+    hits, _ = retrieval.search({"query": "leaderboard retrieval", "mode": "precision"}, branches, e.select("evidence_id", "title"), lambda c: -F.char_length(F.coalesce(c, F.lit(""))))
+    return hits.select("evidence_id", "title", F.round("score", 9).alias("score"))
 
 
 @query()
@@ -665,7 +588,16 @@ def document_chunks(spark, d):
     return documents.chunk_documents(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""SELECT doc_id, len(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\n\\s*\\n'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS n_paragraphs FROM documents""")
+_CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\\r\\n?', chr(10), 'g'), '[ \\t\\x0B\\x0C\\x{{A0}}]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160))"
+
+
+@query(
+    "WITH p AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\n\\s*\\n'), lambda x: " + _CLEAN.format(x="x") + "), lambda x: x <> '') AS p, "
+    "list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]'), lambda x: " + _CLEAN.format(x="x") + "), lambda x: x <> '') AS l FROM documents), "
+    "b AS (SELECT doc_id, CASE WHEN len(p) > 3 THEN p ELSE l END AS parts FROM p), "
+    "c AS (SELECT doc_id, flatten(list_transform(parts, lambda x: CASE WHEN length(x) <= 1800 THEN [x] ELSE list_transform(range(0, length(x), 1400), lambda i: substring(x, i + 1, 1400)) END)) AS blocks FROM b) "
+    "SELECT doc_id, len(blocks) AS n_blocks FROM c"
+)
 def document_blocks(spark, d):
     b = documents.evidence_blocks(table(spark, d, "documents").withColumn("title", F.lit("")), "doc_id", "title", "text")
-    return b.select("doc_id", (F.size("blocks") + F.col("omitted")).cast("long").alias("n_paragraphs"))
+    return b.select("doc_id", (F.size("blocks") + F.col("omitted")).cast("long").alias("n_blocks"))

@@ -64,12 +64,6 @@ def backfill_latest(spark, d):
     return A.latest_by(e, ["evidence_id"], ["captured_at", "event_id"], ["title", "captured_at"])
 
 
-@query("""SELECT evidence_id, array_to_string(list_sort(list_distinct(flatten(list(topics)))), '|') AS topics, max(has_media) AS has_media FROM evidence_events WHERE topics IS NOT NULL GROUP BY 1""")
-def planner_evidence(spark, d):
-    g = ev(spark, d).where("topics IS NOT NULL").groupBy("evidence_id")
-    return g.agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("topics")))), "|").alias("topics"), F.max("has_media").alias("has_media"))
-
-
 @query("""SELECT record_id, evidence_id FROM evidence_latest WHERE starts_with(evidence_id, 'web_document/0')""")
 def state_prefix(spark, d):
     return sinks.scan_prefix(table(spark, d, "evidence_latest"), "web_document/0", "evidence_id").select("record_id", "evidence_id")
@@ -135,14 +129,6 @@ def group_links(spark, d):
     return table(spark, d, "media_observed").select("media_id").distinct().join(runs, "media_id")
 
 
-@query()
-def capture_times(spark, d):
-    from gleanery.operators import ingest
-
-    p = ingest.parse(table(spark, d, "capture_events"))
-    return p.select("kafka_partition", "kafka_offset", S.time_text(F.col("captured_at"), F.lit("")).alias("captured_at"), S.day_text(F.col("captured_at")).alias("day"), S.date_precision(F.col("captured_at")).alias("precision"))
-
-
 @query("""SELECT source_kind, strftime(captured_at, '%Y%m') AS month, count(*) AS n, count(DISTINCT domain) AS domains FROM evidence_events WHERE captured_at IS NOT NULL GROUP BY ALL""")
 def monthly_partitions(spark, d):
     return ev(spark, d).where("captured_at IS NOT NULL").groupBy("source_kind", F.date_format("captured_at", "yyyyMM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("domain").alias("domains"))

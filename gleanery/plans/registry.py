@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.plans import reference, reference_more, training_core
+from gleanery.plans import ingest_plans, reference, reference_more, training_core  # noqa: F401 - the modules register their queries
 
-QUERIES = {**reference_more.QUERIES, **training_core.QUERIES}
-ORACLES = {**reference_more.ORACLES, **training_core.ORACLES}
+QUERIES = {**reference.QUERIES, **training_core.QUERIES}
+ORACLES = {**reference.ORACLES, **training_core.ORACLES}

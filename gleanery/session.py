@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,6 +22,7 @@ def build_session(app: str = "gleanery", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -32,11 +34,14 @@ def build_session(app: str = "gleanery", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, local runs) is a local one set.
+    Only where the session names none and runs on this machine alone (tests) is a local one set; on a cluster a folder
+    of one machine would lose what other executors need, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         path = named
+    elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     else:
         path = os.path.join(tempfile.gettempdir(), "gleanery-checkpoints")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -45,7 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage; survives the loss of any executor."""
+    """Materialise df in the shared folder and cut its lineage; survives the loss of any executor.
+
+    Spark removes the files once nothing refers to them (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

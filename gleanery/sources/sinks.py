@@ -38,39 +38,90 @@ class Snapshots:
     """State of a compacted topic as numbered snapshot folders; readers see the last complete one.
 
     A snapshot is written beside its predecessor and counts once its success marker is there, so a lost executor or
-    a repeated batch leaves no half state.
+    a repeated batch leaves no half state. The rows are spread over ``buckets`` by their key and only buckets that a
+    batch touches are written anew: a snapshot refers to the others where they lie. Snapshots before the last ``keep``
+    are removed with the buckets that only they refer to.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 32, keep: int = 2) -> None:
+        self.spark, self.folder, self.buckets, self.keep = spark, folder.rstrip("/"), buckets, keep
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
-        root = self._path(self.folder)
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.folder}/{n}/_SUCCESS")))
+    def has(self, name: str, folder: str | None = None) -> bool:
+        return self._fs.exists(self._path(f"{(folder or self.folder).rstrip('/')}/{name}"))
 
-    def read(self) -> DataFrame | None:
-        v = self.versions()
-        return self.spark.read.parquet(f"{self.folder}/v={v[-1]}") if v else None
+    def _names(self, sub: str = "") -> list[str]:
+        root = self._path(self.folder + sub)
+        return [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
 
-    def put(self, version: int, new: DataFrame, keys: list[str], order: list[str]) -> None:
-        """Upsert as snapshot ``version``; a version that is there already is a repeated batch and changes nothing."""
-        if version in self.versions():
-            return
-        upsert(self.read(), new, keys, order).write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+    def versions(self) -> list[int]:
+        return sorted(int(n[2:]) for n in self._names() if n.startswith("v=") and self.has(f"{n}/index/_SUCCESS"))
 
-    def delete(self, version: int, where: Column) -> int:
+    def _index(self, version: int) -> dict[int, int]:
+        """Bucket -> version that holds its rows."""
+        rows = self.spark.read.schema("bucket int, held long").parquet(f"{self.folder}/v={version}/index").collect()
+        return {r["bucket"]: r["held"] for r in rows}
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame | None:
+        v = self.versions()
+        if not v:
+            return None
+        held = self._index(v[-1])
+        paths = [f"{self.folder}/v={h}/rows/bucket={b}" for b, h in sorted(held.items()) if buckets is None or b in buckets]
+        schema = self.spark.read.parquet(*[f"{self.folder}/v={h}/rows/bucket={b}" for b, h in list(held.items())[:1]]).schema if held else None
+        if schema is None:
+            return None
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def put(self, version: int, new: DataFrame, keys: list[str], order: list[str]) -> int:
+        """Upserts ``new`` as the next snapshot; gives its number.
+
+        A number that is there already is a repeated batch of the run that wrote it, whose rows are upserted again to no
+        effect, or the batch of a run that counts anew, whose rows must not be lost: both become a snapshot behind
+        the last one.
+        """
+        at = self.versions()
+        number = version if not at or version > at[-1] else at[-1] + 1
+        spread = new.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
+        touched = sorted(r["bucket"] for r in spread.select("bucket").distinct().collect())  # at most `buckets` numbers
+        old = self.read(touched)
+        state = upsert(old, new, keys, order)
+        self._write(number, state, keys, touched, self._index(at[-1]) if at else {})
+        return number
+
+    def _write(self, number: int, rows: DataFrame, keys: list[str], touched: list[int], held: dict[int, int]) -> None:
+        out = f"{self.folder}/v={number}"
+        spread = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
+        spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/rows")
+        written = {int(n[7:]) for n in self._names(f"/v={number}/rows") if n.startswith("bucket=")}
+        index = {b: h for b, h in held.items() if b not in touched} | dict.fromkeys(written, number)
+        self.spark.createDataFrame(sorted(index.items()), "bucket int, held long").coalesce(1).write.mode("overwrite").parquet(f"{out}/index")
+        self._clean()
+
+    def _clean(self) -> None:
+        at = self.versions()
+        kept = at[-self.keep :]
+        used = {(b, h) for v in kept for b, h in self._index(v).items()}
+        for v in at[: -self.keep]:
+            if not any(h == v for _, h in used):
+                self._fs.delete(self._path(f"{self.folder}/v={v}"), True)
+            else:
+                self._fs.delete(self._path(f"{self.folder}/v={v}/index"), True)
+                for n in self._names(f"/v={v}/rows"):
+                    if n.startswith("bucket=") and (int(n[7:]), v) not in used:
+                        self._fs.delete(self._path(f"{self.folder}/v={v}/rows/{n}"), True)
+
+    def delete(self, version: int, where: Column, keys: list[str]) -> int:
         """Deletes the rows that a condition holds for; gives their number."""
         old = self.read()
         if old is None:
             return 0
         gone = old.where(where).count()
-        old.where(~F.coalesce(where, F.lit(False))).write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+        at = self.versions()
+        number = max(version, at[-1] + 1)
+        self._write(number, old.where(~F.coalesce(where, F.lit(False))), keys, list(range(self.buckets)), {})
         return gone
 
 

@@ -19,28 +19,59 @@ EVIDENCE = ("event_id", "evidence_id", "source_kind", "canonical_url", "author_h
 
 def evidence_of(observed: DataFrame) -> DataFrame:
     """Observed events in the fact table's shape."""
-    e = observed.select(*EVIDENCE, F.when(F.col("source_kind") == "media", 1).otherwise(0).alias("has_media"))
-    return e.withColumn("has_ocr", F.when((F.col("source_kind") == "media") & (F.col("text") != ""), 1).otherwise(0))
+    media = F.col("source_kind") == "media"
+    return observed.select(
+        *EVIDENCE,
+        (media | (F.coalesce(F.size("media_ids"), F.lit(0)) > 0)).cast("int").alias("has_media"),
+        (media & (F.col("text") != "")).cast("int").alias("has_ocr"),
+        F.coalesce("quality", "capture_quality").alias("quality"),
+        F.coalesce("media_kind", F.lit("")).alias("media_kind"),
+    )
 
 
 def process(batch: DataFrame) -> dict[str, DataFrame]:
-    """All outputs of a set of records: observed, evidence, annotations, errors."""
+    """All outputs of a set of records: observed, evidence (captures' own rows included), annotations, collector runs,
+    media requests, planned signals and error envelopes."""
     checked = ingest.validate(ingest.parse(batch))
-    observed = ingest.project_all(checked.where(F.col("error").isNull()))
+    valid = checked.where(F.col("error").isNull())
+    return {"errors": ingest.dead_letters(checked), **_made(valid, ingest.project_all(valid))}
+
+
+def _made(valid: DataFrame, observed: DataFrame) -> dict[str, DataFrame]:
+    roots = ingest.root_rows(valid).withColumnRenamed("capture_quality", "quality").withColumn("media_kind", F.lit(""))
     evidence = evidence_of(observed)
-    return {"observed": observed, "evidence": evidence, "annotations": labels.annotation_ids(labels.annotate(evidence)), "errors": ingest.dead_letters(checked)}
+    evidence = evidence.unionByName(roots.select(evidence.columns))
+    return {"observed": observed, "media_requests": ingest.media_requests(observed), "collector_runs": ingest.collector_runs(valid), **_labelled(evidence)}
+
+
+def _labelled(evidence: DataFrame) -> dict[str, DataFrame]:
+    annotations = labels.annotation_ids(labels.annotate(evidence, flags="quality", media_kind="media_kind"))
+    return {"evidence": evidence, "annotations": annotations, "signals": labels.signals(labels.plan(evidence, annotations))}
 
 
 def write_batch(spark: SparkSession, out: str):
-    """The ``foreachBatch`` function: outputs under the batch's number, latest evidence as a snapshot."""
+    """The ``foreachBatch`` function: outputs under the batch's number, latest evidence as a snapshot.
+
+    Every output is read from what was written before it: records are parsed and projected once a batch.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
+        def written(name: str, df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+            return spark.read.schema(df.schema).parquet(f"{out}/{name}/batch={number}")
+
         batch = batch.persist()
         try:
-            made = process(batch)
-            for name, df in made.items():
-                df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-            evidence = spark.read.parquet(f"{out}/evidence/batch={number}")
+            checked = ingest.validate(ingest.parse(batch))
+            written("errors", ingest.dead_letters(checked))
+            valid = checked.where(F.col("error").isNull())
+            observed = written("observed", ingest.project_all(valid))
+            made = _made(valid, observed)
+            for name in ("media_requests", "collector_runs"):
+                written(name, made[name])
+            evidence = written("evidence", made["evidence"])
+            for name in ("annotations", "signals"):
+                written(name, _labelled(evidence)[name])
             Snapshots(spark, f"{out}/state").put(number, evidence, ["evidence_id"], ["captured_at", "event_id"])
         finally:
             batch.unpersist()
@@ -50,7 +81,14 @@ def write_batch(spark: SparkSession, out: str):
 
 def start(spark: SparkSession, folder: str, out: str, checkpoint: str, once: bool = True, dedupe: str | None = None) -> StreamingQuery:
     """Starts the run over a spool folder; ``once`` stops after what is there. ``dedupe`` is a watermark such as
-    ``1 day``: records of one key delivered again within it are dropped."""
+    ``1 day``: records of one key delivered again within it are dropped.
+
+    An output folder belongs to one checkpoint: a fresh checkpoint would count batches from 0 and overwrite what is
+    there, so it is refused (ValueError).
+    """
+    fs = Snapshots(spark, out)
+    if fs.has("observed") and not fs.has("offsets", checkpoint):
+        raise ValueError(f"{out} was written by another run: give its checkpoint or another folder")
     records = readers.stream_records(spark, folder)
     if dedupe:
         at = records.withColumn("at", F.col("received_at").cast("timestamp"))
