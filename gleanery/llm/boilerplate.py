@@ -180,24 +180,44 @@ def classify(text: str, title: str | None, domain: str | None) -> list[tuple[int
         if i < begin or i > end:
             label[i] = BAD
     inline = {i for i in range(begin, end + 1) if label[i] == BAD}
-    # pass two: short blocks inherit from their nearest decided neighbours
+    return [(n, x) for (n, _), x in zip(lines, inherit(label, inline), strict=True)]
+
+
+def inherit(label: list[str], inline: set[int]) -> list[str]:
+    """Pass two: short blocks take the label of their nearest decided neighbour, good or bad.
+
+    Blocks in ``inline`` (one-line notices inside the body) decide nothing about others, nor do short ones. Distances
+    count blocks between; a heading belongs to what follows it, so of two at equal distance the one ahead decides, and
+    a good one ahead from up to twice as far as a bad one behind. Short blocks behind the head of a link list are its
+    links, up to the next decided block. Two sweeps, whatever the number of short blocks in a row.
+    """
+    size = len(label)
+    ahead: list[tuple[int, str]] = [(size, BAD)] * size
+    near = (size, BAD)
+    for i in range(size - 1, -1, -1):
+        ahead[i] = near
+        if label[i] != SHORT and i not in inline:
+            near = (i, label[i])
     out = list(label)
     listing = False
+    behind = (-1, BAD)
     for i, x in enumerate(label):
         if x == HEAD:
             listing, out[i] = True, BAD
         elif x == SHORT:
             if listing:
                 out[i] = BAD
-                continue
-            # one-line notices inside the body decide nothing about their neighbours
-            behind = next((label[j] for j in range(i - 1, -1, -1) if label[j] != SHORT and j not in inline), BAD)
-            ahead = next((label[j] for j in range(i + 1, len(label)) if label[j] != SHORT and j not in inline), BAD)
-            # a heading belongs to what follows it
-            out[i] = GOOD if ahead == GOOD or (behind == GOOD and ahead != BAD) else BAD
+            elif ahead[i][1] == GOOD and behind[1] == GOOD:
+                out[i] = GOOD
+            elif ahead[i][1] == GOOD:
+                out[i] = GOOD if ahead[i][0] - i <= 2 * (i - behind[0]) else BAD
+            else:
+                out[i] = GOOD if behind[1] == GOOD and i - behind[0] < ahead[i][0] - i else BAD
         elif i not in inline:
             listing = False
-    return [(n, out[i]) for i, (n, _) in enumerate(lines)]
+        if x != SHORT and i not in inline:
+            behind = (i, x)
+    return out
 
 
 def _signed(line: str, brand: str) -> bool:

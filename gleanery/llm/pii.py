@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,14 +39,18 @@ _LETTERS_HINT = re.compile("[Ѐ-ӿͰ-Ͽԁ]")
 _MARKS_HINT = re.compile("[̀-ͯ]")
 _ZERO = re.compile(r"[​-‍⁠﻿­]")
 _OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
+#: What disguised addresses say for @ and for the dot (fixed lists).
+_AT_BRACKETED, _AT_BARE, _DOT_WORD = "(?:at|arroba|ät|@)", "(?:at|arroba)", "(?:dot|punkt|punto|point)"
+_DOTS = rf"{_OPEN}{_DOT_WORD}{_CLOSE}|\s{_DOT_WORD}\s"
 _DISGUISED = re.compile(
-    rf"(?P<local>[\w.+%-]+)(?:(?P<at>{_OPEN}(?:at|arroba|ät|@){_CLOSE})(?P<a>[\w-]+(?:(?:{_OPEN}(?:dot|punkt|punto|point){_CLOSE}|\s(?:dot|punkt|punto|point)\s|\.)[\w-]+)+)"
-    rf"|(?P<at2>\s(?:at|arroba)\s)(?P<b>[\w-]+(?:(?:{_OPEN}(?:dot|punkt|punto|point){_CLOSE}|\s(?:dot|punkt|punto|point)\s)[\w-]+)+))",
+    rf"(?P<local>[\w.+%-]+)(?:(?P<at>{_OPEN}{_AT_BRACKETED}{_CLOSE})(?P<a>[\w-]+(?:(?:{_DOTS}|\.)[\w-]+)+)"
+    rf"|(?P<at2>\s{_AT_BARE}\s)(?P<b>[\w-]+(?:(?:{_DOTS})[\w-]+)+))",
     re.I,
 )
-_DISGUISE_WORDS = ("(at", "[at", "{at", "<at", "( at", "[ at", "arroba", "(ät", "[ät", " dot ", "[dot", "(dot", "(@", "[@")
+#: Where a disguise can stand at all, by the same alternatives: only such texts are searched for whole ones.
+_DISGUISE_HINT = re.compile(rf"[\[({{<]\s?{_AT_BRACKETED}\s?[\])}}>]|\s{_AT_BARE}\s[\w-]+(?:{_DOTS})", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
-_DOT = re.compile(rf"{_OPEN}(?:dot|punkt|punto|point){_CLOSE}|\s(?:dot|punkt|punto|point)\s", re.I)
+_DOT = re.compile(_DOTS, re.I)
 _DIGIT_WORDS = {w: str(i % 10) for i, ws in enumerate(("zero oh null cero zéro", "one eins uno un", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre", "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")) for w in ws.split()}
 _NUMBER_WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"\b{_NUMBER_WORD}(?:[\s-]+{_NUMBER_WORD}){{5,}}\b", re.I)
@@ -123,14 +127,14 @@ def normalise(text: str) -> Mapped:
             m.rewrite([(x.start(), x.end(), c) for x in _MARKS.finditer(m.text) if len(c := unicodedata.normalize("NFC", x[0])) < len(x[0])])
     lower = m.text.casefold()
     m.words = set(_LETTERS.findall(lower))
-    if any(w in lower for w in _DISGUISE_WORDS):
+    if _DISGUISE_HINT.search(m.text):
         edits = []
         for x in _DISGUISED.finditer(m.text):
             at, host = ("at", "a") if x["at"] else ("at2", "b")
             edits.append((*x.span(at), "@"))
             edits += [(x.start(host) + y.start(), x.start(host) + y.end(), ".") for y in _DOT.finditer(x[host])]
         m.rewrite(edits)
-    if len(m.words & _DIGIT_WORDS.keys()) >= 3 and _SPELLED_HINT.search(m.text):
+    if not m.words.isdisjoint(_DIGIT_WORDS) and _SPELLED_HINT.search(m.text):
         m.spelled = m.rewrite([(x.start(), x.end(), "".join(_DIGIT_WORDS[w.casefold()] for w in re.split(r"[\s-]+", x[0]))) for x in _SPELLED.finditer(m.text)])
     return m
 
@@ -291,13 +295,14 @@ def find_pii(text: str | None, given: frozenset[str] = frozenset(), family: froz
     m = normalise(text)
     t = m.text
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # apart and in order
 
     def free(start: int, end: int) -> bool:
-        return all(end <= a or start >= b for a, b in taken)
+        k = bisect_right(taken, (start, start))
+        return (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= end)
 
     def add(start: int, end: int, kind: str) -> None:
-        taken.append((start, end))
+        insort(taken, (start, end))
         found.append((m.source(start), m.source_end(end), kind))
 
     i = t.find("@")
@@ -360,14 +365,18 @@ def replace_pii(text: str | None, spans: list[tuple[int, int, str]]) -> str | No
 
 # ---------------------------------------------------------------- corpus
 
-_RUN = r"\p{Lu}\p{Ll}+(?:[- ]\p{Lu}\p{Ll}+)+"
+#: Capitalised words, those of the kinds of O'Brien and McDonald included, and runs of them.
+_CAPITALISED = r"(?:\p{Lu}['’]|Mc|Mac)?\p{Lu}\p{Ll}+"
+_RUN = rf"{_CAPITALISED}(?:[- ]{_CAPITALISED})+"
+#: A family name stands behind so many different given names, or behind given names in this share of its places.
+FAMILY_GIVEN, FAMILY_SHARE = 2, 0.5
 
 
 def learn_names(texts: DataFrame, known: DataFrame, text: str = "text", known_name: str = "name_part") -> DataFrame:
     """``kind (given or family), name``: the case-folded lexica learned from all texts.
 
     Counts all runs of capitalised words of the corpus (one regex pass in the JVM, folded map-side). A word after a
-    known given name is a family name; a word that mostly stands before family names, and before two different ones
+    known given name, behind two different ones or in most of its places behind capitalised words, is a family name; a word that mostly stands before family names, and before two different ones
     at least, is a given name; then once more from the given names found.
     """
     titles = list(_TITLES)
@@ -382,8 +391,10 @@ def learn_names(texts: DataFrame, known: DataFrame, text: str = "text", known_na
     for _ in range(2):
         twins = hyphened.join(given.withColumnRenamed("name", "a"), "a", "left_semi").select(F.col("b").alias("name"))
         twins = twins.union(hyphened.join(given.withColumnRenamed("name", "b"), "b", "left_semi").select(F.col("a").alias("name"))).distinct()
-        after = spaced.join(given.withColumnRenamed("name", "a"), "a", "left_semi").groupBy(F.col("b").alias("name")).agg(F.sum("n").alias("n"))
-        family = after.where(F.length("name") >= 4).select("name").join(given, "name", "left_anti").join(twins, "name", "left_anti")
+        after = spaced.join(given.select(F.col("name").alias("a"), F.lit(1).alias("g")), "a", "left").groupBy(F.col("b").alias("name"))
+        after = after.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("g") == 1, F.col("n"))).alias("behind"), F.count("g").alias("names"))
+        after = after.where((F.col("names") >= FAMILY_GIVEN) | (F.col("behind") >= FAMILY_SHARE * F.col("n")))
+        family = after.select("name").join(given, "name", "left_anti").join(twins, "name", "left_anti")
         marked = spaced.join(family.select(F.col("name").alias("b"), F.lit(1).alias("f")), "b", "left")
         more = marked.groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("f") == 1, F.col("n"))).alias("before"), F.count("f").alias("families"))
         more = more.where((F.col("families") >= 2) & (F.col("before") >= 0.5 * F.col("n"))).select("name").join(family, "name", "left_anti")

@@ -88,6 +88,7 @@ class Encoder:
         self.ranks, self.size = ranks, max(ranks.values()) + 1
         self.find = regex.compile(pattern).findall
         self.memory = _Memory(self)
+        self.queue = RankQueue(self.size)  # empty after every merge, so one serves them all
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token's bytes: always the lowest rank first, the leftmost of equal ones first."""
@@ -99,7 +100,7 @@ class Encoder:
         ends = list(range(1, n + 1))  # of the part that begins at a position
         before = list(range(-1, n - 1))
         pair: list[int] = [-1] * n  # rank of a part merged with the next, -1: none or no longer a part
-        queue = RankQueue(self.size)
+        queue = self.queue
         for i in range(n - 1):
             r = ranks.get(data[i : i + 2])
             if r is not None:

@@ -143,3 +143,24 @@ def test_bundles_are_whole_and_consistent(spark):
     assert (e.sources.body_record, e.sources.address_record, e.sources.times_record) == (1, 1, 2) and (e.first_seen_at, e.last_seen_at) == (T(2), T(9))
     g = got["g"]  # nothing consistent: the record's own
     assert (g.canonical_url, g.first_seen_at, g.last_seen_at) == ("https://third.test/", T(9), T(1))
+
+
+def test_short_blocks_inherit_from_the_nearest_decided_neighbour():
+    g, b, s, h = B.GOOD, B.BAD, B.SHORT, B.HEAD
+    assert B.inherit([g, s, s, s, b], set())[1:4] == [g, b, b]  # a tie goes to the one ahead
+    assert B.inherit([b, s, g], set()) == [b, g, g] and B.inherit([b, s, s, s, g], set())[1] == b  # too far from its text
+    assert B.inherit([g, s, s, g], set()) == [g] * 4 and B.inherit([h, s, s, g], set()) == [b, b, b, g]
+    assert B.inherit([g, b, s, g], {1}) == [g, b, g, g] and B.inherit([s, s], set()) == [b, b] and B.inherit([], set()) == []
+
+
+def test_runs_of_short_blocks_take_time_in_proportion():
+    import time
+
+    def took(n):
+        text = "A title of it\n" + "\n".join(f"short block {i}" for i in range(n)) + "\nIt is the end of what the page says about it and of all the rest."
+        began = time.perf_counter()
+        assert len(B.classify(text, "A title of it", None)) == n + 2
+        return time.perf_counter() - began
+
+    took(2_000)
+    assert took(32_000) < 8 * took(8_000) + 1

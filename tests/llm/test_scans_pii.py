@@ -121,3 +121,31 @@ def test_corrections_hold_when_all_counts_grow(spark):
         assert [(r.word, r.meant) for r in S.corrections(words, counts).collect()] == [("wbere", "where")], times
     short = spark.createDataFrame([("rc", 2), ("re", 100), ("entscbeidungszusammenbangs", 2), ("entscheidungszusammenhangs", 100)], "word string, n long")
     assert {("rc", "re"), ("entscbeidungszusammenbangs", "entscheidungszusammenhangs")} <= {(r.word, r.meant) for r in S.link_words(short).collect()}
+
+
+def test_hints_are_as_wide_as_the_patterns_they_guard():
+    assert found("write to max at firma punkt example today") == [("email", "max at firma punkt example")]
+    assert found("write to max at firma (punto) example today") == [("email", "max at firma (punto) example")]
+    assert found("call five five five five zero zero zero now") == [("phone", "five five five five zero zero zero")]
+
+
+def test_family_names_need_support(spark):
+    texts = ["Della Zed wrote.", "Jory Zed wrote.", "Della O'Brien and Jory McDonald met.", "Della Wu left.", "Main Street, Oak Street, High Street, Elm Street; Della Street once."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([("Della", "en"), ("Jory", "en")], "name_part string, lang string")
+    family = {r.name for r in pii.learn_names(docs, known).where("kind = 'family'").collect()}
+    assert family == {"zed", "o'brien", "mcdonald", "wu"}  # two given names, or mostly behind them; not the street
+    names = {(r.doc_id, texts[r.doc_id][r.start_char : r.end_char]) for r in pii.detect(docs, known).where("pii_type = 'name'").collect()}
+    assert {(2, "Della O'Brien"), (2, "Jory McDonald"), (3, "Della Wu")} <= names and (4, "Della Street") not in names
+
+
+def test_many_occurrences_take_time_in_proportion():
+    import time
+
+    def took(n):
+        text = "mail a@b.test or " * n
+        began = time.perf_counter()
+        assert len(pii.find_pii(text)) == n
+        return time.perf_counter() - began
+
+    assert took(16_000) < 16 * took(2_000) + 1
