@@ -47,14 +47,14 @@ _DISGUISED = re.compile(
     rf"|(?P<at2>\s{_AT_BARE}\s)(?P<b>[\w-]+(?:(?:{_DOTS})[\w-]+)+))",
     re.I,
 )
-#: Where a disguise can stand at all, by the same alternatives: only such texts are searched for whole ones.
-_DISGUISE_HINT = re.compile(rf"[\[({{<]\s?{_AT_BRACKETED}\s?[\])}}>]|\s{_AT_BARE}\s[\w-]+(?:{_DOTS})", re.I)
+#: Where a disguise can stand at all, by the same words: only such texts are searched for whole ones.
+_AT_WORDS, _DOT_WORDS = frozenset("at arroba ät".split()), frozenset("dot punkt punto point".split())
+_BRACKETED = re.compile(rf"[\[({{<]\s?{_AT_BRACKETED}\s?[\])}}>]", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DOT = re.compile(_DOTS, re.I)
 _DIGIT_WORDS = {w: str(i % 10) for i, ws in enumerate(("zero oh null cero zéro", "one eins uno un", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre", "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")) for w in ws.split()}
 _NUMBER_WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"\b{_NUMBER_WORD}(?:[\s-]+{_NUMBER_WORD}){{5,}}\b", re.I)
-_SPELLED_HINT = re.compile(rf"\b{_NUMBER_WORD}[\s-]+{_NUMBER_WORD}[\s-]+{_NUMBER_WORD}\b", re.I)
 
 
 class Mapped:
@@ -125,16 +125,17 @@ def normalise(text: str) -> Mapped:
             m.rewrite([(x.start(), x.end(), "") for x in _ZERO.finditer(m.text)])
         if _MARKS_HINT.search(m.text):
             m.rewrite([(x.start(), x.end(), c) for x in _MARKS.finditer(m.text) if len(c := unicodedata.normalize("NFC", x[0])) < len(x[0])])
-    lower = m.text.casefold()
-    m.words = set(_LETTERS.findall(lower))
-    if _DISGUISE_HINT.search(m.text):
+    tokens = _LETTERS.findall(m.text.casefold())
+    m.words = set(tokens)
+    at = not m.words.isdisjoint(_AT_WORDS)
+    if (at and not m.words.isdisjoint(_DOT_WORDS)) or ((at or "@" in m.text) and _BRACKETED.search(m.text)):
         edits = []
         for x in _DISGUISED.finditer(m.text):
             at, host = ("at", "a") if x["at"] else ("at2", "b")
             edits.append((*x.span(at), "@"))
             edits += [(x.start(host) + y.start(), x.start(host) + y.end(), ".") for y in _DOT.finditer(x[host])]
         m.rewrite(edits)
-    if not m.words.isdisjoint(_DIGIT_WORDS) and _SPELLED_HINT.search(m.text):
+    if not m.words.isdisjoint(_DIGIT_WORDS) and sum(map(tokens.count, m.words & _DIGIT_WORDS.keys())) >= 6:
         m.spelled = m.rewrite([(x.start(), x.end(), "".join(_DIGIT_WORDS[w.casefold()] for w in re.split(r"[\s-]+", x[0]))) for x in _SPELLED.finditer(m.text)])
     return m
 
