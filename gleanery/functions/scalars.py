@@ -188,8 +188,8 @@ def day_text(c: Column) -> Column:
 
 
 def date_precision(c: Column) -> Column:
-    n = F.char_length(text(c))
-    return F.when(n == 0, "unknown").when(c.contains("T") | (n > 10), "datetime").when(n == 10, "day").when(n == 7, "month").when(n == 4, "year").otherwise("unknown")
+    n = F.char_length(F.coalesce(c, F.lit("")))
+    return F.when(n == 0, "unknown").when(c.contains("T"), "datetime").when(n >= 10, "day").when(n >= 7, "month").when(n >= 4, "year").otherwise("unknown")
 
 
 #: Frames of the activity view: name -> (window in minutes, bucket in minutes), fixed values.
@@ -328,3 +328,52 @@ def list_field(shown: Column) -> Column:
     many = F.transform(F.from_json(shown, "array<string>"), item)
     one = F.when(~shown.rlike(r"^[\[{]") & (text(shown) != ""), F.array(text(shown)))
     return clean_list(F.when(shown.startswith("["), many).otherwise(one))
+
+
+def first_int(*cs: Column) -> Column:
+    """The first whole number among values of any kind, decimals cut off; 0 where there is none."""
+    return F.coalesce(*[F.coalesce(c.try_cast("bigint"), c.try_cast("double").cast("bigint")) for c in cs], F.lit(0).cast("bigint"))
+
+
+def float_list(shown: Column) -> Column:
+    """The numbers of a JSON list, what is none left out; null for what is no list."""
+    return F.filter(F.transform(F.from_json(shown, "array<string>"), lambda x: x.try_cast("float")), lambda x: x.isNotNull())
+
+
+def has_any(fields: Column, *names: str) -> Column:
+    """Whether an object's fields (a map of texts) hold any of the names with something in it."""
+    return reduce(lambda a, b: a | b, [F.coalesce(~fields[n].isin("", "[]"), F.lit(False)) for n in names])
+
+
+def sizes_of(lists: Column) -> Column:
+    """The sizes of a map's lists."""
+    return F.transform_values(lists, lambda k, v: F.size(v))
+
+
+def target_count(n: Column) -> Column:
+    """How many are aimed at: one more than there are, at least two, at most eight."""
+    return F.greatest(F.lit(2), F.least(F.lit(8), n + 1))
+
+
+def confidence(mean: Column) -> Column:
+    return F.coalesce(mean.cast("double"), F.lit(0.0))
+
+
+def taxonomy_id(vocabulary: str, c: Column) -> Column:
+    """A term's id in a vocabulary: letters and digits in lower case, everything else one underscore."""
+    return F.concat(F.lit(f"{vocabulary}."), F.btrim(F.regexp_replace(F.lower(text(c)), r"[^\p{L}\p{N}]+", "_"), F.lit("_")))
+
+
+def size_label(chars: Column, blocks: Column) -> Column:
+    return F.format_string("%d chars / %d blocks", F.coalesce(chars, F.lit(0)).cast("long"), F.coalesce(blocks, F.lit(0)).cast("long"))
+
+
+def spaced_json(*columns: str) -> Column:
+    """Sorted-key JSON with a space behind colons and commas, of plain text columns (the input of SHA-1 keys)."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(F.coalesce(F.col(c).cast("string"), F.lit("")))), r"^\[|\]$", "")
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{c}": '), quoted(c)) for c in sorted(columns)]), F.lit("}"))
+
+
+def time_or_null(c: Column) -> Column:
+    """The time text in one layout, null for empty."""
+    return F.when(text(c) != "", time_text(c, F.lit("")))

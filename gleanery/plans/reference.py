@@ -137,8 +137,9 @@ def entity_extracted(spark, d):
 
 @query("""SELECT value, array_to_string(list_slice(list_sort(list_distinct(list(evidence_id))), 1, 12), '|') AS samples FROM (SELECT evidence_id, unnest(entities) AS value FROM evidence_events) GROUP BY 1""")
 def entity_samples(spark, d):
-    e = ev(spark, d).select(F.explode("entities").alias("value"), "evidence_id")
-    return e.groupBy("value").agg(F.array_join(F.slice(F.sort_array(F.collect_set("evidence_id")), 1, 12), "|").alias("samples"))
+    e = ev(spark, d).select(F.explode("entities").alias("value"), "evidence_id").distinct()
+    first = e.withColumn("rn", F.row_number().over(Window.partitionBy("value").orderBy("evidence_id"))).where("rn <= 12")  # keeps 12 a group before the shuffle
+    return first.groupBy("value").agg(F.array_join(F.sort_array(F.collect_list("evidence_id")), "|").alias("samples"))
 
 
 @query("""SELECT queue, n FROM (SELECT count(*) FILTER (WHERE coalesce(text,'')='') AS no_text, count(*) FILTER (WHERE coalesce(title,'')='') AS no_title, count(*) FILTER (WHERE has_ocr=1) AS ocr, count(*) FILTER (WHERE length(text)>3600) AS oversized FROM evidence_events)
@@ -215,13 +216,6 @@ def topk_per_group(spark, d):
     return table(spark, d, "ops_canary_runs").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("run_id", "status", "created_at", F.col("rn").cast("long").alias("rn"))
 
 
-@query("""SELECT user_id, count(*) AS sessions FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) WHERE new = 1 GROUP BY 1""")
-def attempt_fold(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("before", F.lag("ts").over(w))
-    return e.where(F.col("before").isNull() | (F.col("ts") - F.col("before") > F.expr("INTERVAL 30 MINUTE"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
-
-
 @query("""SELECT event_id, user_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) > 0 AS positive, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS quarter FROM events""")
 def running_windows(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -352,14 +346,6 @@ def inspect_runs(spark, d):
     return e.join(seed, "collector_run_id", "left_semi").select("event_id", "evidence_id").distinct()
 
 
-@query("""WITH s AS (SELECT DISTINCT evidence_id, canonical_url, author_handle FROM evidence_events WHERE source_kind = 'x_post')
-          SELECT DISTINCT a.evidence_id AS evidence_id, b.evidence_id AS related FROM s a JOIN s b ON a.canonical_url = b.canonical_url AND a.evidence_id <> b.evidence_id WHERE a.canonical_url <> ''""")
-def related_by_url(spark, d):
-    s = ev(spark, d).where("source_kind = 'x_post' AND canonical_url <> ''").select("evidence_id", "canonical_url").distinct()
-    other = s.withColumnRenamed("evidence_id", "related")
-    return s.join(other, "canonical_url").where("evidence_id <> related").select("evidence_id", "related").distinct()
-
-
 @query("""SELECT c.doc_id, count(*) AS mentions FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS w FROM documents) c JOIN (SELECT DISTINCT lower(e) AS w FROM (SELECT unnest(entities) AS e FROM evidence_events)) n ON c.w = n.w GROUP BY 1""")
 def theta_entity(spark, d):
     words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("w"))
@@ -494,8 +480,8 @@ def mime_types(spark, d):
 @query("""SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20""")
 def vector_topk(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.orderBy("vec_id").first()["embedding"]
-    hit = retrieval.vector(e, q, "text_dense", 20, ident="vec_id")
+    q = e.groupBy().agg(F.min_by("embedding", "vec_id").alias("q"))
+    hit = retrieval.vector_of(e, q, "text_dense", 20, ident="vec_id")
     return hit.select(F.col("evidence_id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 

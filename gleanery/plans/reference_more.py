@@ -11,16 +11,10 @@ from gleanery.plans.reference import ORACLES, QUERIES, ev, query  # noqa: F401
 from gleanery.sources import sinks, table
 
 
-@query("""SELECT evidence_id, count(*) AS rows, count(DISTINCT title) AS titles, array_to_string(list_sort(list(DISTINCT title)), '|') AS options FROM evidence_latest WHERE coalesce(title, '') <> '' GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT title) > 1""")
-def conflict_clusters(spark, d):
-    g = table(spark, d, "evidence_latest").where(F.coalesce("title", F.lit("")) != "").groupBy("evidence_id")
-    return g.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("title").alias("titles"), F.array_join(F.sort_array(F.collect_set("title")), "|").alias("options")).where("rows > 1 AND titles > 1")
-
-
 @query("""SELECT lower(trim(e)) AS identity, min(e) AS canonical, len(list_distinct(list(e))) AS names, count(DISTINCT evidence_id) AS sources, CASE WHEN len(list_distinct(list(e))) > 1 OR count(*) > 1 THEN 'merge_cluster' ELSE 'single' END AS kind FROM (SELECT evidence_id, unnest(entities) AS e FROM evidence_latest) WHERE trim(e) <> '' GROUP BY 1""")
 def canonical_groups(spark, d):
     e = table(spark, d, "evidence_latest").select("evidence_id", F.explode("entities").alias("e")).where(F.trim("e") != "")
-    g = e.groupBy(F.lower(F.trim("e")).alias("identity")).agg(F.min("e").alias("canonical"), F.size(F.collect_set("e")).cast("long").alias("names"), F.countDistinct("evidence_id").alias("sources"), F.count(F.lit(1)).alias("n"))
+    g = e.groupBy(F.lower(F.trim("e")).alias("identity")).agg(F.min("e").alias("canonical"), F.countDistinct("e").alias("names"), F.countDistinct("evidence_id").alias("sources"), F.count(F.lit(1)).alias("n"))
     return g.select("identity", "canonical", "names", "sources", F.when((F.col("names") > 1) | (F.col("n") > 1), "merge_cluster").otherwise("single").alias("kind"))
 
 
@@ -37,16 +31,6 @@ def claim_subjects(spark, d):
     return t.select("doc_id", p["subject"].alias("subject"), (F.col("t").contains(":") | F.col("t").contains(" is ")).alias("has_sign"))
 
 
-@query("""SELECT n_name, round(avg(CASE WHEN c_mktsegment='BUILDING' THEN c_acctbal END), 2) AS building, round(avg(CASE WHEN c_mktsegment='MACHINERY' THEN c_acctbal END), 2) AS machinery,
-          CASE WHEN count(DISTINCT c_mktsegment) = 0 THEN 'missing' WHEN count(*) < 3 THEN 'single' WHEN min(c_acctbal) < 0 THEN 'conflict' ELSE 'agree' END AS state FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
-def compare_matrix(spark, d):
-    j = table(spark, d, "nation").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    cell = lambda k: F.round(F.avg(F.when(F.col("c_mktsegment") == k, F.col("c_acctbal"))), 2)
-    g = j.groupBy("n_name").agg(cell("BUILDING").alias("building"), cell("MACHINERY").alias("machinery"), F.countDistinct("c_mktsegment").alias("k"), F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("low"))
-    state = F.when(F.col("k") == 0, "missing").when(F.col("n") < 3, "single").when(F.col("low") < 0, "conflict").otherwise("agree")
-    return g.select("n_name", "building", "machinery", state.alias("state"))
-
-
 @query("""SELECT 'source_kind' AS term_type, source_kind AS term, count(*) AS usage FROM evidence_events GROUP BY ALL UNION ALL SELECT 'capture_method', capture_method, count(*) FROM evidence_events GROUP BY ALL
           UNION ALL SELECT 'media_kind', media_kind, count(*) FROM media_observed GROUP BY ALL UNION ALL SELECT 'artifact_role', artifact_role, count(*) FROM media_ocr_results GROUP BY ALL""")
 def taxonomy_usage(spark, d):
