@@ -190,30 +190,36 @@ def split_pages(pages: DataFrame) -> DataFrame:
 _WORDS = "media_id string, line_no int, at int, word string, broken boolean, head string, tail string, tail_media string, tail_no int, confidence double, hyphen boolean, odd boolean, half string"
 
 
+def _page_tokens(r) -> tuple[list[list], list[tuple]]:
+    """Words of a page's text lines in order (broken ones joined, with their halves) and ``(line_no, broken, odd)`` of its lines."""
+    lines = list(zip(r.numbers, r.lines, strict=True))
+    page: list[list] = []
+    marks: list[tuple] = []
+    skip = 0
+    if len(lines) and r.prev_last is not None and (w := broken_word(r.prev_last, lines[0][1])):
+        skip = lines[0][1].find(w[1]) + len(w[1])  # the page before has this word
+    for k, (no, line) in enumerate(lines):
+        last = k + 1 == len(lines)
+        nxt = (r.next_media, r.next_no, r.next_first) if last else (r.media_id, lines[k + 1][0], lines[k + 1][1])
+        w = broken_word(line, nxt[2]) if nxt[2] is not None else None
+        body = line[: line.rstrip().rfind(w[0])] if w else line
+        for m in _TOKEN.finditer(body, skip):
+            page.append([no, m[0], False, None, None, None, None])
+        skip = 0
+        if w:
+            page.append([no, w[0] + w[1], True, w[0], w[1], nxt[0], None if nxt[1] is None else int(nxt[1])])
+            skip = (lines[k + 1][1].find(w[1]) + len(w[1])) if not last else 0
+        marks.append((no, bool(w), bool(_ODD_NUMBER.search(line))))
+    return page, marks
+
+
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in _WORDS.split(", ")]
     for b in batches:
         rows: list[tuple] = []
         for r in b.itertuples(index=False):
-            lines = list(zip(r.numbers, r.lines, strict=True))
-            page: list[list] = []
-            skip = 0
-            if len(lines) and r.prev_last is not None and (w := broken_word(r.prev_last, lines[0][1])):
-                skip = lines[0][1].find(w[1]) + len(w[1])  # the page before has this word
-            for k, (no, line) in enumerate(lines):
-                last = k + 1 == len(lines)
-                nxt = (r.next_media, r.next_no, r.next_first) if last else (r.media_id, lines[k + 1][0], lines[k + 1][1])
-                w = broken_word(line, nxt[2]) if nxt[2] is not None else None
-                body = line
-                if w:
-                    body = line[: line.rstrip().rfind(w[0])]
-                for m in _TOKEN.finditer(body, skip):
-                    page.append([no, m[0], False, None, None, None, None])
-                skip = 0
-                if w:
-                    page.append([no, w[0] + w[1], True, w[0], w[1], nxt[0], None if nxt[1] is None else int(nxt[1])])
-                    skip = (lines[k + 1][1].find(w[1]) + len(w[1])) if not last else 0
-                rows.append((r.media_id, no, -1, None, False, None, None, None, None, r.confidence, bool(w), bool(_ODD_NUMBER.search(line)), None))
+            page, marks = _page_tokens(r)
+            rows += [(r.media_id, no, -1, None, False, None, None, None, None, r.confidence, broken, odd, None) for no, broken, odd in marks]
             for i, p in enumerate(page):
                 rows.append((r.media_id, p[0], i, p[1].casefold(), p[2], p[3], p[4], p[5], p[6], r.confidence, False, False, None))
                 if p[2]:  # its halves as words of their own, should the whole be a compound
@@ -226,6 +232,11 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names)
 
 
+def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"media_id": b["media_id"], "words": [[p[1].casefold() for p in _page_tokens(r)[0]] for r in b.itertuples(index=False)]})
+
+
 def page_words(parts: DataFrame) -> DataFrame:
     """Every word of the text lines (broken words joined) with its place, and a row (at = -1) for each line."""
     return parts.mapInPandas(_tokens, _WORDS)
@@ -255,10 +266,9 @@ def link_words(counts: DataFrame) -> DataFrame:
     return linked.where((ratio >= RATIO_IN_CONTEXT) | F.col("strong")).select("word", "meant", "strong", ratio.alias("ratio"), "n")
 
 
-def sentences(words: DataFrame) -> DataFrame:
-    """``media_id, words``: every page as one sentence; a word's place is its index."""
-    pages = words.where(F.col("word").isNotNull() & F.col("half").isNull()).groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("w"))
-    return pages.select("media_id", F.transform("w", lambda x: x["word"]).alias("words"))
+def sentences(parts: DataFrame) -> DataFrame:
+    """``media_id, words``: every page as one sentence; a word's place is its index. A map, no word is shuffled."""
+    return parts.mapInPandas(_sentences, "media_id string, words array<string>")
 
 
 def learn_vectors(pages: DataFrame, partitions: int) -> DataFrame:
@@ -276,7 +286,7 @@ def _cosine(a, b):
     return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
 
 
-def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
+def corrections(parts: DataFrame, words: DataFrame, counts: DataFrame) -> DataFrame:
     """The misread occurrences with their corrections: columns of ``words`` and ``meant``.
 
     An occurrence is corrected to the linked word of greatest fit, the cosine between that word's vector and the
@@ -286,7 +296,7 @@ def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
     """
     links = cut(link_words(counts))
     hits = cut(words.where(F.col("word").isNotNull()).join(links, "word"))
-    pages = cut(sentences(words))
+    pages = cut(sentences(parts))
     if counts.where(F.col("n") > FREQUENT).isEmpty():  # no word is frequent enough to have a vector
         vectors = words.sparkSession.createDataFrame([], "word string, vector array<double>")
     else:
@@ -322,7 +332,7 @@ def analyse(media: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame,
     unknown = joined.join(counts, "word", "left_anti")
     halves = spoken.where(F.col("half").isNotNull())
     extra = unknown.select("word").union(halves.select("word")).distinct().join(counts, "word", "left_anti")
-    fixes = cut(corrections(words, counts.union(extra.select("word", F.lit(1).cast("long").alias("n")))))
+    fixes = cut(corrections(parts, words, counts.union(extra.select("word", F.lit(1).cast("long").alias("n")))))
     whole = fixes.where(F.col("half").isNull())
     compounds = unknown.select(F.lower("head").alias("h"), F.lower("tail").alias("t")).distinct()
     mended = whole.where("broken").select(F.lower("head").alias("h"), F.lower("tail").alias("t")).distinct()

@@ -116,9 +116,12 @@ def test_scans_table(spark):
 def test_corrections_hold_when_all_counts_grow(spark):
     row = lambda at, word: ("m", 0, at, word, False, None, None, None, None, 1.0, False, False, None)
     words = spark.createDataFrame([row(i, "wbere" if i == 15 else "where") for i in range(30)], S._WORDS)
+    line = " ".join("wbere" if i == 15 else "where" for i in range(30))
+    parts = spark.createDataFrame([("m", [0], [line], None, None, None, None)], "media_id string, numbers array<int>, lines array<string>, prev_last string, next_media string, next_no int, next_first string")
+    assert [r.words for r in S.sentences(parts).collect()] == [line.split()]
     for times in (1, 10, 100):
         counts = spark.createDataFrame([("wbere", 4 * times), ("where", 120 * times), ("tbere", 4 * times), ("there", 40 * times)], "word string, n long")
-        assert [(r.word, r.meant) for r in S.corrections(words, counts).collect()] == [("wbere", "where")], times
+        assert [(r.word, r.meant) for r in S.corrections(parts, words, counts).collect()] == [("wbere", "where")], times
     short = spark.createDataFrame([("rc", 2), ("re", 100), ("entscbeidungszusammenbangs", 2), ("entscheidungszusammenhangs", 100)], "word string, n long")
     assert {("rc", "re"), ("entscbeidungszusammenbangs", "entscheidungszusammenhangs")} <= {(r.word, r.meant) for r in S.link_words(short).collect()}
 
