@@ -36,6 +36,8 @@ FREQUENT, RATIO, RATIO_IN_CONTEXT, FIT = 4, 24.0, 8.0, 0.2
 #: Above this ratio a link holds whatever its context.
 SURE = 200.0
 VECTOR_SIZE, WINDOW = 24, 3
+#: Rows up to which the sides that hold words (frequent words, links, vectors) are broadcast; beyond, joins shuffle.
+BROADCAST_WORDS = 1_000_000
 #: A longer line is no header.
 LONGEST_HEADER = 90
 
@@ -248,6 +250,11 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["word", "meant", "strong"])
 
 
+def _side(words: DataFrame) -> DataFrame:
+    """A side of a join by word: broadcast if its rows, counted, are few."""
+    return F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
+
+
 def link_words(counts: DataFrame) -> DataFrame:
     """``word, meant, strong, ratio, n``: words and the far more frequent ones that glyph edits turn them into.
 
@@ -261,7 +268,7 @@ def link_words(counts: DataFrame) -> DataFrame:
     longest = F.broadcast(frequent.agg(F.max(F.length("meant")).alias("longest")))
     odd = odd.crossJoin(longest).where(F.length("word") <= F.col("longest") + 2).select("word")
     made = odd.mapInPandas(_candidates, "word string, meant string, strong boolean")
-    linked = made.join(frequent, "meant").join(counts, "word")
+    linked = made.join(_side(frequent), "meant").join(counts, "word")
     ratio = F.col("m") / F.col("n")
     return linked.where((ratio >= RATIO_IN_CONTEXT) | F.col("strong")).select("word", "meant", "strong", ratio.alias("ratio"), "n")
 
@@ -295,7 +302,7 @@ def corrections(parts: DataFrame, words: DataFrame, counts: DataFrame) -> DataFr
     ratio asked for.
     """
     links = cut(link_words(counts))
-    hits = cut(words.where(F.col("word").isNotNull()).join(links, "word"))
+    hits = cut(words.where(F.col("word").isNotNull()).join(_side(links), "word"))
     pages = cut(sentences(parts))
     if counts.where(F.col("n") > FREQUENT).isEmpty():  # no word is frequent enough to have a vector
         vectors = words.sparkSession.createDataFrame([], "word string, vector array<double>")
@@ -303,10 +310,10 @@ def corrections(parts: DataFrame, words: DataFrame, counts: DataFrame) -> DataFr
         vectors = cut(learn_vectors(pages, max(2, words.sparkSession.sparkContext.defaultParallelism)))
     at = F.col("at")
     before, after = F.slice("words", F.greatest(at - WINDOW, F.lit(0)) + 1, F.least(at, F.lit(WINDOW))), F.slice("words", at + 2, F.lit(WINDOW))
-    near = hits.where(at >= 0).select("media_id", "at").distinct().join(pages, "media_id").select("media_id", "at", F.explode(F.array_distinct(F.concat(before, after))).alias("word")).join(vectors, "word")
+    near = hits.where(at >= 0).select("media_id", "at").distinct().join(pages, "media_id").select("media_id", "at", F.explode(F.array_distinct(F.concat(before, after))).alias("word")).join(_side(vectors), "word")
     mean = near.groupBy("media_id", "at").agg(*[F.avg(F.element_at("vector", i + 1)).alias(f"v{i}") for i in range(VECTOR_SIZE)])
     mean = mean.select("media_id", "at", F.array(*[f"v{i}" for i in range(VECTOR_SIZE)]).alias("context"))
-    target = vectors.select(F.col("word").alias("meant"), "vector")
+    target = _side(vectors.select(F.col("word").alias("meant"), "vector"))
     scored = hits.join(mean, ["media_id", "at"], "left").join(target, "meant", "left")
     fit = F.when(F.col("context").isNull() | F.col("vector").isNull(), F.lit(0.0)).otherwise(_cosine(F.col("context"), F.col("vector")))
     scored = scored.withColumn("fit", fit)

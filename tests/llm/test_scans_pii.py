@@ -90,7 +90,9 @@ def test_broken_words_and_glyphs():
     assert [bool(S._ODD_NUMBER.search(x)) for x in ("8O of 9", "64.l%", "2,S69", "16k", "1024k tokens", "in 2020.")] == [True, True, True, False, False, False]
 
 
-def test_scans_table(spark):
+@pytest.mark.parametrize("broadcast", [1_000_000, -1])
+def test_scans_table(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(S, "BROADCAST_WORDS", broadcast)  # beyond the bound joins by word shuffle
     line = "the index was rebuilt after the team had found that most of its pages were stale and the queue was long"
     rows, results = [], []
     for i in range(40):
