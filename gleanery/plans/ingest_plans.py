@@ -165,13 +165,13 @@ def ingest_user_inputs(spark, d):
 @query(
     f"WITH {_HEAD} SELECT kind AS source_kind, target_topic, count(*) AS n FROM (SELECT unnest([" + ", ".join(f"{{'kind': '{k}', 'target_topic': '{t}', 'n': len({_list(k)})}}" for k, t in ingest.TOPICS.items()) + "], recursive := true) FROM h WHERE j IS NOT NULL), range(10000) t(i) WHERE i < n GROUP BY ALL"
 )
-def ingest_observed(spark, d):
+def ingest_topics(spark, d):
     """All kinds from one pass, counted by topic; the rows themselves are in the queries of the kinds."""
     return ingest.project_all(_parsed(spark, d)).groupBy("source_kind", "target_topic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
-def ingest_observed_rows(spark, d):
+def ingest_observed(spark, d):
     return ingest.project_all(_parsed(spark, d))
 
 
