@@ -49,10 +49,12 @@ _DISGUISED = re.compile(
 )
 #: Where a disguise can stand at all, by the same words: only such texts are searched for whole ones.
 _AT_WORDS, _DOT_WORDS = frozenset("at arroba ät".split()), frozenset("dot punkt punto point".split())
-_BRACKETED = re.compile(rf"[\[({{<]\s?{_AT_BRACKETED}\s?[\])}}>]", re.I)
+#: On the case-folded text.
+_BRACKETED, _BARE = re.compile(rf"[\[({{<]\s?{_AT_BRACKETED}\s?[\])}}>]"), re.compile(rf"\s{_AT_BARE}\s[\w-]+(?:{_DOTS})")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DOT = re.compile(_DOTS, re.I)
 _DIGIT_WORDS = {w: str(i % 10) for i, ws in enumerate(("zero oh null cero zéro", "one eins uno un", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre", "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")) for w in ws.split()}
+_NUMBERS = frozenset(_DIGIT_WORDS)
 _NUMBER_WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"\b{_NUMBER_WORD}(?:[\s-]+{_NUMBER_WORD}){{5,}}\b", re.I)
 
@@ -125,17 +127,18 @@ def normalise(text: str) -> Mapped:
             m.rewrite([(x.start(), x.end(), "") for x in _ZERO.finditer(m.text)])
         if _MARKS_HINT.search(m.text):
             m.rewrite([(x.start(), x.end(), c) for x in _MARKS.finditer(m.text) if len(c := unicodedata.normalize("NFC", x[0])) < len(x[0])])
-    tokens = _LETTERS.findall(m.text.casefold())
+    lower = m.text.casefold()
+    tokens = _LETTERS.findall(lower)
     m.words = set(tokens)
     at = not m.words.isdisjoint(_AT_WORDS)
-    if (at and not m.words.isdisjoint(_DOT_WORDS)) or ((at or "@" in m.text) and _BRACKETED.search(m.text)):
+    if (at and not m.words.isdisjoint(_DOT_WORDS) and _BARE.search(lower)) or ((at or "@" in lower) and _BRACKETED.search(lower)):
         edits = []
         for x in _DISGUISED.finditer(m.text):
             at, host = ("at", "a") if x["at"] else ("at2", "b")
             edits.append((*x.span(at), "@"))
             edits += [(x.start(host) + y.start(), x.start(host) + y.end(), ".") for y in _DOT.finditer(x[host])]
         m.rewrite(edits)
-    if not m.words.isdisjoint(_DIGIT_WORDS) and sum(map(tokens.count, m.words & _DIGIT_WORDS.keys())) >= 6:
+    if (numbers := m.words & _NUMBERS) and sum(map(tokens.count, numbers)) >= 6:
         m.spelled = m.rewrite([(x.start(), x.end(), "".join(_DIGIT_WORDS[w.casefold()] for w in re.split(r"[\s-]+", x[0]))) for x in _SPELLED.finditer(m.text)])
     return m
 
@@ -240,13 +243,51 @@ _TITLES = frozenset("mr mrs ms miss dr prof sir herr frau sr sra srta don doña
 _PARTICLES = frozenset("von van de der den del di du la le da dos".split())
 
 
-def find_names(text: str, given: frozenset[str], family: frozenset[str]) -> list[tuple[int, int]]:
+#: Characters around a family name within which a whole name stands as a rule; where one reaches further, all is read.
+_AROUND = 160
+
+
+def names_in(text: str, lower: str, words: set[str], given: frozenset[str], family: frozenset[str]) -> list[tuple[int, int]]:
+    """``find_names`` that reads only the surroundings of family names; the same spans.
+
+    ``lower`` is the case-folded text and ``words`` its words. A name that comes near the edge of what was read makes
+    the whole text be read.
+    """
+    known = words & family
+    if not known:
+        return []
+    if len(lower) != len(text):
+        return find_names(text, given, family)
+    at = []
+    for w in known:
+        i = lower.find(w)
+        while i >= 0:
+            at.append((max(0, i - _AROUND), min(len(text), i + len(w) + _AROUND)))
+            i = lower.find(w, i + len(w))
+    stretches: list[tuple[int, int]] = []
+    for a, b in sorted(at):
+        if stretches and a <= stretches[-1][1]:
+            stretches[-1] = (stretches[-1][0], max(b, stretches[-1][1]))
+        else:
+            stretches.append((a, b))
+    # a stretch begins and ends between words
+    stretches = [(text.rfind(" ", 0, a) + 1 if a else 0, b if (e := text.find(" ", b)) < 0 else e) for a, b in stretches]
+    spans = find_names(text, given, family, stretches)
+    edge = 2 * _AROUND // 3
+    for a, b in stretches:
+        for s, e in spans:
+            if (a and a <= s < a + _AROUND - edge) or (b < len(text) and b - _AROUND + edge < e <= b):
+                return find_names(text, given, family)
+    return spans
+
+
+def find_names(text: str, given: frozenset[str], family: frozenset[str], stretches: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
     """Spans of persons' names: each holds a family name with what belongs to it on either side.
 
     Family with given names or initials before it (hyphens, particles and a second family name included), family
     and given name around a comma, or family after a title, which is not part of the span.
     """
-    words = [(m.start(), m.end(), m[0].casefold()) for m in _WORD.finditer(text)]
+    words = [(m.start(), m.end(), m[0].casefold()) for a, b in stretches or [(0, len(text))] for m in _WORD.finditer(text, a, b)]
     spans, last, k = [], -1, 0
     while k < len(words):
         s, e, w = words[k]
@@ -344,10 +385,9 @@ def find_pii(text: str | None, given: frozenset[str] = frozenset(), family: froz
     for s, e in _addresses(t, lower):
         if free(s, e):
             add(s, e, "address")
-    if not family.isdisjoint(m.words):
-        for s, e in find_names(t, given, family):
-            if free(s, e):
-                add(s, e, "name")
+    for s, e in names_in(t, lower, m.words, given, family):
+        if free(s, e):
+            add(s, e, "name")
     return sorted(found)
 
 

@@ -154,3 +154,17 @@ def test_many_occurrences_take_time_in_proportion():
         return time.perf_counter() - began
 
     assert took(16_000) < 16 * took(2_000) + 1
+
+
+def test_names_read_around_family_names_are_those_of_the_whole_text():
+    import random
+
+    dice = random.Random(2)
+    bits = ["Della", "Jory", "Wynn", "Arneskoholt", "Brazoarde", "Varnuström", "von", "J.", "the", "plan", "of", "x" * 30, ",", "-", "\n", "Dr.", "ß", "O’Hara", "word " * 40]
+    for _ in range(400):
+        text = "".join(dice.choice(bits) + dice.choice([" ", " ", "  ", ""]) for _ in range(dice.randint(1, 60)))
+        lower = text.casefold()
+        words = set(pii._LETTERS.findall(lower))
+        assert pii.names_in(text, lower, words, GIVEN, FAMILY) == (pii.find_names(text, GIVEN, FAMILY) if words & FAMILY else []), text
+    long = "Della " * 100 + "Arneskoholt and more " + "z " * 500
+    assert pii.names_in(long, long.casefold(), {"arneskoholt"}, GIVEN, FAMILY) == pii.find_names(long, GIVEN, FAMILY) == [(0, 600 + len("Arneskoholt"))]
